@@ -71,7 +71,8 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     chosen = order == most
     chosen[across] = False
     at = np.flatnonzero(chosen)
-    return at, full[at] >> np.uint64(16)
+    # anchors are places of small high bits; the low ones spread them evenly over buckets
+    return at, full[at] & np.uint64(2**48 - 1)
 
 
 def _batches(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
