@@ -23,7 +23,7 @@ LEFT = LENGTH - GRAM
 #: Documents that share a gram from which its anchor is replaced by all the strings of LENGTH bytes around it.
 HOT = 100_000
 #: Bytes of a chunk of documents, of a bucket's share of the text, and of what is hashed at a time.
-CHUNK_BYTES, BUCKET_BYTES, STRIDE = 16 << 20, 64 << 20, 1 << 18
+CHUNK_BYTES, BUCKET_BYTES, STRIDE = 4 << 20, 64 << 20, 1 << 18
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _B = 0x2545F4914F6CDD1D
@@ -448,7 +448,7 @@ def _run(docs: DataFrame, last, schema: str, hot: int) -> DataFrame:
     narrow = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), F.xxhash64(F.lit(LENGTH), text).alias("k2"), F.octet_length(text).alias("n")))
     total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     wide = partitions(spark)
-    chunks, buckets = max(4 * wide, math.ceil(total / CHUNK_BYTES)), max(wide, math.ceil(total / BUCKET_BYTES))
+    chunks, buckets = max(wide, math.ceil(total / CHUNK_BYTES)), max(wide, math.ceil(total / BUCKET_BYTES))
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
     reps = narrow.where(f"doc_id is not null and n >= {LENGTH}").groupBy("k", "k2", "n").agg(F.min("doc_id").alias("doc_id"))
     # a text too short to lose anything is as good as the first of its copies; one side row a chunk makes it known in every pass
