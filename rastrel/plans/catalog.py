@@ -190,7 +190,7 @@ def distance_pairs(spark, sf_dir):
     return spatial.within(frame(spark, sf_dir, "buildings").select("id", F.col("x0").alias("x"), F.col("y0").alias("y")), 50.0)
 
 
-both("slope_join", "SELECT b.id, o.n_planes, o.mean_slope FROM buildings b LEFT JOIN (SELECT o_custkey, count(*) AS n_planes, round(avg(o_totalprice), 4) AS mean_slope FROM orders GROUP BY o_custkey) o ON b.id = o.o_custkey")
+both("slope_join", "SELECT b.id, o.n_planes, o.total FROM buildings b LEFT JOIN (SELECT o_custkey, count(*) AS n_planes, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) o ON b.id = o.o_custkey")
 both("target_ids_semi", "SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 both("unfound_ids", "SELECT count(*) AS missing FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 both("id_join_with_fallback", "SELECT b.id, coalesce(m.s_suppkey, f.s_suppkey) AS match_id FROM buildings b LEFT JOIN supplier m ON m.s_suppkey = b.id LEFT JOIN supplier f ON f.s_suppkey = b.id % 7 + 1")
