@@ -28,15 +28,13 @@ def complete(pixels: DataFrame, target: str = "lst") -> DataFrame:
 
 
 def fit_linear(rows: DataFrame, target: str = "lst") -> dict[str, float]:
-    """Least squares coefficients by name, with `intercept`: one aggregation of centred products, solved on the driver."""
-    means = rows.agg(*(F.avg(x).alias(x) for x in (*INPUTS, target))).first()
-    centred = {x: F.col(x) - F.lit(means[x]) for x in (*INPUTS, target)}
+    """Least squares coefficients by name, with `intercept`: means and covariances in one aggregation, solved on the driver."""
     pairs = [(a, b) for i, a in enumerate(INPUTS) for b in (*INPUTS[i:], target)]
-    sums = rows.agg(*(F.sum(centred[a] * centred[b]).alias(f"{a}_{b}") for a, b in pairs)).first()
-    normal = np.array([[sums[f"{a}_{b}"] if f"{a}_{b}" in sums else sums[f"{b}_{a}"] for b in INPUTS] for a in INPUTS])
-    weights = np.linalg.lstsq(normal, np.array([sums[f"{a}_{target}"] for a in INPUTS]), rcond=None)[0]
+    found = rows.agg(*(F.avg(x).alias(x) for x in (*INPUTS, target)), *(F.covar_pop(a, b).alias(f"{a}_{b}") for a, b in pairs)).first()
+    normal = np.array([[found[f"{a}_{b}"] if (a, b) in pairs else found[f"{b}_{a}"] for b in INPUTS] for a in INPUTS])
+    weights = np.linalg.lstsq(normal, np.array([found[f"{a}_{target}"] for a in INPUTS]), rcond=None)[0]
     out = dict(zip(INPUTS, map(float, weights), strict=True))
-    return out | {"intercept": float(means[target] - sum(out[x] * means[x] for x in INPUTS))}
+    return out | {"intercept": float(found[target] - sum(out[x] * found[x] for x in INPUTS))}
 
 
 def predict(model: dict[str, float], inputs: dict[str, Column] | None = None) -> Column:

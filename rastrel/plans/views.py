@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 PIXEL = 30.0
@@ -28,10 +30,12 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """sql over the tables and the views that it names."""
+    """sql over the tables and the views that it names; no other table's files are opened."""
+    text = with_views(sql)
     for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(with_views(sql))
+        if re.search(rf"\b{table}\b", text):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    return spark.sql(text)
 
 
 def with_views(sql: str) -> str:
