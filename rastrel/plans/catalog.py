@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import model, raster, select, spatial
+from ..operators import graph, model, overlay, raster, select, spatial
 from .views import PIXEL, frame, query, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -282,3 +282,52 @@ def scenario_buildings(spark, sf_dir):
     rows = spatial.zonal(scenario_pixels(spark, sf_dir).select("r", "c", "lst", "delta"), zones, PIXEL)
     out = rows.groupBy("id", "material").agg(F.avg("lst").alias("lst_baseline_mean"), F.avg("delta").alias("delta_mean"))
     return rounded(out.withColumn("selected_for_greening", F.col("material") == "building").drop("material"), "lst_baseline_mean", "delta_mean", digits=3)
+
+
+# components, tiles and probabilities
+NEAR = "(a.x0 - b.x0) * (a.x0 - b.x0) + (a.y0 - b.y0) * (a.y0 - b.y0) <= 1600"
+
+
+@own(f"""WITH RECURSIVE links AS (SELECT a.id AS a, b.id AS b FROM buildings a JOIN buildings b ON {NEAR}), reach AS (SELECT id AS a, id AS b FROM buildings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+    root AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)
+    SELECT id, component FROM (SELECT b.id, component, row_number() OVER (PARTITION BY component ORDER BY area_m2 DESC, b.id) AS n FROM buildings b JOIN root ON root.id = b.id) t WHERE n = 1""")
+def dedup_within(spark, sf_dir):
+    points = frame(spark, sf_dir, "buildings").select("id", F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("area_m2").alias("area"))
+    return graph.dedup_within(points, 40.0).select("id", "component")
+
+
+@own("""WITH RECURSIVE k AS (SELECT r, c, qa, r * 100 + c AS id FROM pixels WHERE qa > 0), links AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.qa = b.qa AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+    reach AS (SELECT id AS a, id AS b FROM k UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b), n AS (SELECT a AS id, count(*) AS n FROM reach GROUP BY a)
+    SELECT p.r, p.c, CASE WHEN n.n < 3 THEN 0 ELSE p.qa END AS k FROM pixels p LEFT JOIN n ON n.id = p.r * 100 + p.c""")
+def islands_dropped(spark, sf_dir):
+    return graph.drop_islands(frame(spark, sf_dir, "pixels").select("r", "c", F.col("qa").alias("k")), 100, 3, 0)
+
+
+TILES = "SELECT ty * 5 AS ty, tx * 5 AS tx FROM (SELECT unnest(range(0, 19)) AS ty) a CROSS JOIN (SELECT unnest(range(0, 19)) AS tx) b"
+
+
+@own(f"SELECT CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx, round(avg(CASE WHEN qa = 0 THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM pixels JOIN ({TILES}) t ON r BETWEEN ty AND ty + 9 AND c BETWEEN tx AND tx + 9 GROUP BY 1, 2 HAVING avg(CASE WHEN qa = 0 THEN 1.0 ELSE 0.0 END) >= 0.55")
+def covered_tiles(spark, sf_dir):
+    mask = frame(spark, sf_dir, "pixels").select("r", "c", F.when(F.col("qa") == 0, 1.0).otherwise(0.0).alias("m"))
+    return rounded(overlay.covered_tiles(mask, 10, 5, 100, 100), "coverage")
+
+
+@own(f"""WITH v AS (SELECT r, c, ty * 100 + tx AS tile, (ty + 2 * tx) // 5 % 4 AS k, ((ty * 3 + tx * 7) % 100) / CAST(100 AS DOUBLE) AS conf, ((ty + tx) % 60) / CAST(100 AS DOUBLE) AS base
+        FROM pixels JOIN ({TILES}) t ON r BETWEEN ty AND ty + 9 AND c BETWEEN tx AND tx + 9),
+    n AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY k <> 0 AND conf >= 0.4 AND conf - base >= 0.125 DESC, conf DESC, tile) AS place FROM v)
+    SELECT r, c, CAST(CASE WHEN k <> 0 AND conf >= 0.4 AND conf - base >= 0.125 THEN k ELSE 0 END AS INT) AS k FROM n WHERE place = 1""")
+def confident_overlay(spark, sf_dir):
+    tiles = overlay.on_tiles(frame(spark, sf_dir, "pixels").select("r", "c"), 10, 5, 100, 100)
+    votes = tiles.select("r", "c", F.expr("ty * 100 + tx").alias("tile"), F.expr("(ty + 2 * tx) div 5 % 4").cast("int").alias("k"), F.expr("((ty * 3 + tx * 7) % 100) / 100D").alias("conf"), F.expr("((ty + tx) % 60) / 100D").alias("base"))
+    return overlay.confident(votes, 0, 0.4, 0.125)
+
+
+@own("""WITH p AS (SELECT p_partkey AS id, j, (p_partkey * (j + 1) % 11 + p_size * (j + 2) % 7 + (p_partkey + j) % 5) / CAST(3 AS DOUBLE) * CASE j WHEN 1 THEN 0.5 WHEN 3 THEN 1.5 ELSE 1.0 END AS v
+        FROM part CROSS JOIN (SELECT unnest(range(0, 5)) AS j) k), t AS (SELECT id, j, v, sum(v) OVER (PARTITION BY id) AS whole FROM p)
+    SELECT id, CAST(j AS INT) AS k, round(CASE WHEN whole > 0 THEN v / whole ELSE v END, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(v, 9) DESC, j) AS n FROM t) x WHERE n = 1""")
+def averaged_classes(spark, sf_dir):
+    sizes = {"p0": "p_partkey * (j + 1) % 11", "p1": "p_size * (j + 2) % 7", "p2": "(p_partkey + j) % 5"}
+    rows = frame(spark, sf_dir, "part").withColumns({n: F.expr(f"transform(sequence(0, 4), j -> cast({e} AS double))") for n, e in sizes.items()})
+    rows = rows.withColumn("p", overlay.averaged(list(sizes), [1.0, 0.5, 1.0, 1.5, 1.0]))
+    best = overlay.first_best(F.transform("p", lambda x: F.round(x, 9)))
+    return rows.select(F.col("p_partkey").alias("id"), best.alias("k"), F.round(F.array_max("p"), 6).alias("p"))

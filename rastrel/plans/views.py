@@ -42,6 +42,7 @@ def with_views(sql: str) -> str:
     """sql with the views that it names as common table expressions."""
     used = [f"{n} AS ({v})" for n, v in VIEWS.items() if n in sql]
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ", ".join(used + [body[5:]])
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return start + ", ".join(used + [body[len(start) :]])
     return ("WITH " + ", ".join(used) + " " if used else "") + body
