@@ -72,6 +72,31 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, penalty: float = 1.0) ->
     return weights, float(w[-1] - weights @ centre)
 
 
+def _fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    y = np.array([float(q > 0) for _, q in rows])
+    if 0 < y.sum() < len(y):
+        weights, bias = fit(np.array([x for x, _ in rows]), y)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tolist()], pa.list_(pa.float64())), pa.array([bias], pa.float64())], ["weights", "bias"])
+
+
+def evidence_model(marked: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[float], float]:
+    """Weights over FEATURES and intercept, fitted by one task on the labelled documents of the smallest seeded hashes.
+
+    A document counts once. The driver gets the weights alone: rows above a hash that about 1.5 times the sample stay below
+    are dropped first, so no task sends or sorts more than a small multiple of the sample. Zeros without both classes.
+    """
+    known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    n = known.join(marked.select("doc_id"), "doc_id", "left_semi").count()
+    mark = F.xxhash64(F.lit(SEED), "doc_id")
+    if n > 1.5 * sample:
+        known = known.where(mark < -(2**63) + int(2**64 * (1.5 * sample / n)))
+    once = marked.join(known, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("quality").alias("quality"))
+    chosen = once.orderBy(mark, "doc_id").limit(sample).select("x", F.col("quality").cast("double").alias("quality")).coalesce(1)
+    row = chosen.mapInArrow(_fitted, "weights array<double>, bias double").first()
+    return (row.weights, row.bias) if row else ([0.0] * len(FEATURES), 0.0)
+
+
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
@@ -79,7 +104,7 @@ def _logit(p: Column) -> Column:
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, evidence, site_prior, score, kept) of every row of documents(doc_id, text, lang, source).
 
-    evidence is the log odds of a logistic classifier over FEATURES, fitted on the driver on at most `sample` rows of
+    evidence is the log odds of a logistic classifier over FEATURES, fitted by one task on at most `sample` documents of
     labels(doc_id, quality), those of the smallest seeded hashes. Hosts (sources) and paths (languages within a host) then
     get posteriors: a host's mean probability is shrunk toward the global prior, a path's toward its host's, each with a
     strength estimated from how much the sites differ beyond chance. site_prior is the path's posterior, and score the
@@ -91,13 +116,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     Sites are summed with map-side combination; their table is joined on host and path.
     """
     marked = cut(measure(docs))
-    known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = marked.join(known, "doc_id").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").select("x", "quality").limit(sample).collect()
-    y = np.array([float(r.quality > 0) for r in chosen])
-    if 0 < y.sum() < len(y):
-        weights, bias = fit(np.array([r.x for r in chosen]), y)
-    else:
-        weights, bias = np.zeros(len(FEATURES)), 0.0
+    weights, bias = evidence_model(marked, labels, sample)
     evidence = sum((F.col("x")[i] * F.lit(float(w)) for i, w in enumerate(weights)), F.lit(bias))
     rows = marked.select("doc_id", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), F.coalesce("path", F.lit("")).alias("path"), F.col("path").isNull().alias("no_path"), F.greatest(F.lit(-12.0), F.least(F.lit(12.0), evidence)).alias("evidence"))
     p = 1 / (1 + F.exp(-F.col("evidence")))
@@ -113,7 +132,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     shift = _logit(F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("site_prior")))) - math.log(whole / (1 - whole))
     moved = F.col("evidence") + F.greatest(F.lit(-MOST_SHIFT), F.least(F.lit(MOST_SHIFT), shift))
     scored = rows.join(cut(sites), path).select("doc_id", "evidence", "site_prior", (1 / (1 + F.exp(-moved))).alias("score"))
-    return scored.withColumn("kept", F.col("score") >= THRESHOLD if weights.any() else F.lit(True))
+    return scored.withColumn("kept", F.col("score") >= THRESHOLD if any(weights) else F.lit(True))
 
 
 def _strength(sites: DataFrame, n: str, s: str, whole: float) -> float:
