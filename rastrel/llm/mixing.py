@@ -15,10 +15,10 @@ SEED = 20_240_501
 WEIGHTS = (1, 2, 3)
 #: A source gives at most so many times its size.
 REPEATS = 3
-#: Words of a block, and of a shard before its source is cut into more shards.
+#: Words of a block, and the fewest that a source is cut into more shards for.
 BLOCK, SHARD_WORDS = 32, 500_000
-#: Shards of one source at most; each document belongs to one of so many cells of its source.
-CELLS = 256
+#: Shards hold at least this part of all words, so there are at most twice as many, and one more for each source.
+SHARDS = 20_000
 #: Sources that the driver apportions; more are refused.
 MOST_SOURCES = 20_000
 
@@ -66,29 +66,30 @@ def capped_targets(sizes: list[int], weights: list[float], most: float = REPEATS
     return out
 
 
-def plan(cells: list[tuple[str | None, int, int]], weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK) -> list[tuple]:
-    """(source, cell, shard, source size, target, words to take in the shard, shard size) for each (source, cell, words)."""
+def shards_of(sizes: dict[str | None, int]) -> dict[str | None, int]:
+    """Shards of each source, powers of two, by its words and the words of all."""
+    unit = max(SHARD_WORDS, sum(sizes.values()) // SHARDS)
+    return {s: 1 << (n // unit).bit_length() for s, n in sizes.items()}
+
+
+def plan(shards: list[tuple[str | None, int, int]], weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK) -> list[tuple]:
+    """(source, shard, source size, target, words to take in the shard, shard size) for each (source, shard, words)."""
     by_source: dict[str | None, dict[int, int]] = {}
-    for source, cell, words in cells:
-        by_source.setdefault(source, {})[cell] = words
+    for source, shard, words in sorted(shards, key=lambda x: x[1]):
+        by_source.setdefault(source, {})[shard] = words
     sources = sorted(by_source, key=lambda s: (s is None, s or ""))
     sizes = [sum(by_source[s].values()) for s in sources]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(sources))])
     quotas = sainte_lague(targets, round(sum(sizes) / block))
     out = []
     for source, size, target, quota in zip(sources, sizes, targets, quotas, strict=True):
-        shards = min(CELLS, 1 << max(0, (size // SHARD_WORDS).bit_length()))
-        words = [0] * shards
-        for cell, n in by_source[source].items():
-            words[cell % shards] += n
+        words = list(by_source[source].values())
         takes = [min(n * block, REPEATS * w) for n, w in zip(sainte_lague([float(n) for n in words], quota), words, strict=True)]
         rest = min(quota * block, REPEATS * size) - sum(takes)  # what shards at their cap leave
-        for shard in range(shards):
-            more = min(rest, REPEATS * words[shard] - takes[shard])
-            takes[shard], rest = takes[shard] + more, rest - more
-        for cell in by_source[source]:
-            shard = cell % shards
-            out.append((source, cell, shard, size, target, takes[shard], words[shard]))
+        for i, shard in enumerate(by_source[source]):
+            more = min(rest, REPEATS * words[i] - takes[i])
+            rest -= more
+            out.append((source, shard, size, target, takes[i] + more, words[i]))
     return out
 
 
@@ -98,16 +99,18 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def _taken(rows: DataFrame) -> DataFrame:
-    """rows(source, __size, __mark, ...) with __source_size, target and __taken."""
+    """rows(source, __size, __mark, ...) with q_size, q_target and __taken."""
     spark = rows.sparkSession
-    cell = F.pmod(F.shiftright("__mark", 20), F.lit(CELLS)).cast("int")
-    rows = rows.withColumn("__cell", cell)
     if rows.select("source").distinct().limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    cells = [tuple(r) for r in rows.groupBy("source", "__cell").agg(F.sum("__size")).collect()]
-    schema = "q_source string, q_cell int, q_shard int, q_size long, q_target double, q_take long, q_words long"
-    quotas = spark.createDataFrame(plan(cells), schema)
-    joined = rows.join(F.broadcast(quotas), rows["source"].eqNullSafe(F.col("q_source")) & (F.col("__cell") == F.col("q_cell")))
+    sizes = dict(tuple(r) for r in rows.groupBy("source").agg(F.sum("__size")).collect())
+    counts = F.broadcast(spark.createDataFrame(list(shards_of(sizes).items()), "n_source string, n_shards long"))
+    rows = rows.join(counts, rows["source"].eqNullSafe(F.col("n_source")))
+    rows = rows.withColumn("__shard", F.pmod(F.shiftright("__mark", 20), "n_shards")).drop("n_source", "n_shards")
+    found = [tuple(r) for r in rows.groupBy("source", "__shard").agg(F.sum("__size")).collect()]
+    schema = "q_source string, q_shard long, q_size long, q_target double, q_take long, q_words long"
+    quotas = F.broadcast(spark.createDataFrame(plan(found), schema))
+    joined = rows.join(quotas, rows["source"].eqNullSafe(F.col("q_source")) & (F.col("__shard") == F.col("q_shard")))
     order = Window.partitionBy("q_source", "q_shard").orderBy("__mark", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("__size").over(order), F.lit(0))
     passes = F.coalesce(F.expr("q_take div nullif(q_words, 0)"), F.lit(0))
@@ -119,10 +122,10 @@ def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of documents(doc_id, text, source).
 
     Sources share all words by WEIGHTS, none above REPEATS times its size. The sum of words makes equal blocks, which go
-    to the sources by the highest quotients and, within a source, to its shards; shards are groups of cells, into which
-    documents fall by a seeded hash, so a source that holds most rows is spread. In a shard documents stand in seeded
+    to the sources by the highest quotients and, within a source, to its shards, into which documents fall by a seeded hash,
+    so a source that holds most rows is spread over shards in proportion to its words. In a shard documents stand in seeded
     order: it takes whole passes first and then blocks from the start of that order, the last of which may end within
-    a document. The driver holds a row for each source and cell, CELLS times MOST_SOURCES at most.
+    a document. The driver holds a row for each shard, MOST_SOURCES + 2 * SHARDS at most.
 
     Null texts have size 0 and are never taken; a null source is a source, the last one. Repeated rows each get a row. An
     empty table gives none. A tie in the seeded order goes by doc_id, then size. Other columns are not read.
