@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,3 +79,43 @@ def mercator(lon: str, lat: str) -> tuple[Column, Column]:
 def affine_of_worldfile(a: str, d: str, b: str, e: str, c: str, f: str) -> tuple[Column, Column]:
     """Outer corner of the upper left pixel from a world file's centre."""
     return F.col(c) - F.col(a) / 2 - F.col(b) / 2, F.col(f) - F.col(d) / 2 - F.col(e) / 2
+
+
+def ring_holds(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a ring of struct<x, y>, closed or not, holds a point, by the edges that a ray to the right crosses."""
+    n = F.size(ring)
+
+    def crosses(p: Column, i: Column) -> Column:
+        q = F.get(ring, (i + 1) % n)
+        # multiplied by q.y - p.y and compared by its sign, so that nothing is divided
+        side = (x - p["x"]) * (q["y"] - p["y"]) - (q["x"] - p["x"]) * (y - p["y"])
+        met = ((p["y"] > y) != (q["y"] > y)) & F.when(q["y"] > p["y"], side < 0).otherwise(side > 0)
+        return F.when(met, 1).otherwise(0)
+
+    return F.aggregate(F.transform(ring, crosses), F.lit(0), lambda a, v: a + v) % 2 == 1
+
+
+def utm_zone(lon: Column | str) -> Column:
+    """The UTM zone, 1 to 60, of a longitude."""
+    return F.least(F.lit(60), F.floor((_col(lon) + 180) / 6).cast("int") + 1)
+
+
+def utm(lon: Column | str, lat: Column | str, zone: Column | int) -> tuple[Column, Column]:
+    """Easting and northing on WGS 84 in a zone, by the Krüger series to the third power of the flattening.
+
+    The northing of southern latitudes has 10,000 km added.
+    """
+    lon, lat, zone = _col(lon), _col(lat), F.lit(zone) if isinstance(zone, int) else zone
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    radius = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    s, away = F.sin(F.radians(lat)), F.radians(lon - (zone * 6 - 183))
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for k, a in enumerate(series, 1):
+        x = x + a * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+        y = y + a * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+    return 500_000 + radius * x, radius * y + F.when(lat < 0, 10_000_000.0).otherwise(0.0)
