@@ -1,10 +1,13 @@
-"""Regression over pixels by normal equations, seeded samples, and the counterfactual on selected roofs."""
+"""Regression over pixels by normal equations or a forest, seeded samples, and the counterfactual on selected roofs."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .spatial import top_one
 
@@ -56,3 +59,63 @@ def scenario(pixels: DataFrame, fractions: DataFrame, targets: dict[str, float],
     if clip_positive:
         change = F.least(F.lit(0.0), change)
     return rows.withColumn("delta", F.when(F.col("lst").isNotNull(), F.when(F.col("fraction") > 0, change).otherwise(0.0))).withColumn("scenario", F.col("lst") + F.col("delta"))
+
+
+def split(rows: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """rows(r, c, ...) with part: 'train' for floor(share * n) rows by seeded order, 'test' for the rest.
+
+    Rows are counted by order key, of which there are a million at most; only those of the key at the border are ranked.
+    """
+    keyed = rows.withColumn("_k", order_key(seed))
+    counts = keyed.groupBy("_k").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumns({"_before": F.coalesce(before, F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy())})
+    edge = counts.where(f"_before <= floor({share} * _all)").orderBy(F.desc("_before")).limit(1).select(F.col("_k").alias("_edge"), (F.floor(F.lit(share) * F.col("_all")) - F.col("_before")).alias("_left"))
+    marked = keyed.join(F.broadcast(edge))
+    at_edge = F.when(F.col("_k") == F.col("_edge"), F.row_number().over(Window.partitionBy("_k").orderBy("r", "c")))
+    train = (F.col("_k") < F.col("_edge")) | F.coalesce(at_edge <= F.col("_left"), F.lit(False))
+    return marked.withColumn("part", F.when(train, "train").otherwise("test")).drop("_k", "_edge", "_left")
+
+
+def _assembled(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(INPUTS), outputCol="_x", handleInvalid="error").transform(rows)
+
+
+def fit_forest(rows: DataFrame, target: str = "lst", trees: int = 500, depth: int = 12, least: int = 5, seed: int = 42) -> RandomForestRegressionModel:
+    """A random forest on complete rows; a split looks at the square root of the number of inputs."""
+    forest = RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol="prediction", numTrees=trees, maxDepth=depth, minInstancesPerNode=least, featureSubsetStrategy="sqrt", maxBins=128, seed=seed)
+    return forest.fit(_assembled(rows))
+
+
+def with_prediction(rows: DataFrame, model: dict[str, float] | RandomForestRegressionModel) -> DataFrame:
+    """rows with prediction; null where an input is null, and those rows are not given to a forest."""
+    if isinstance(model, dict):
+        return rows.withColumn("prediction", predict(model))
+    known = " and ".join(f"{x} is not null" for x in INPUTS)
+    scored = model.transform(_assembled(rows.where(known))).drop("_x")
+    return scored.unionByName(rows.where(f"not ({known})").withColumn("prediction", F.lit(None).cast("double")))
+
+
+def forest_scenario(pixels: DataFrame, fractions: DataFrame, targets: dict[str, float], model: RandomForestRegressionModel, clip_positive: bool = False) -> DataFrame:
+    """As scenario, with a forest: only pixels with selected roofs are predicted, before and after."""
+    rows = pixels.join(fractions, ["r", "c"], "left").withColumn("fraction", F.coalesce("fraction", F.lit(0.0)))
+    roofed = complete(rows.where("fraction > 0")).select("r", "c", *INPUTS, "fraction")
+    now = with_prediction(roofed, model).withColumnRenamed("prediction", "_now")
+    then = with_prediction(now.select("r", "c", "_now", *(e.alias(x) for x, e in blended(targets).items())), model)
+    change = F.col("prediction") - F.col("_now")
+    if clip_positive:
+        change = F.least(F.lit(0.0), change)
+    changes = then.select("r", "c", change.alias("_change"))
+    delta = F.when(F.col("lst").isNotNull(), F.when(F.col("fraction") > 0, F.col("_change")).otherwise(0.0))
+    return rows.join(changes, ["r", "c"], "left").withColumn("delta", delta).withColumn("scenario", F.col("lst") + F.col("delta")).drop("_change")
+
+
+def quality(scored: DataFrame, target: str = "lst") -> dict[str, float]:
+    """r2 and rmse of prediction by part, as r2_train, rmse_train, r2_test and rmse_test."""
+    t, p = F.col(target), F.col("prediction")
+    found = scored.groupBy("part").agg(F.var_pop(t).alias("v"), F.avg((t - p) * (t - p)).alias("mse")).collect()
+    out = {}
+    for row in found:
+        out[f"r2_{row.part}"] = 1 - row.mse / row.v if row.v else float("nan")
+        out[f"rmse_{row.part}"] = row.mse**0.5
+    return out

@@ -234,7 +234,11 @@ def random_sample(spark, sf_dir):
     return frame(spark, sf_dir, "pixels").where(raster.clear()).orderBy(model.order_key(42), "r", "c").limit(1000).select("r", "c")
 
 
-both("train_test_split", f"SELECT r, c, CASE WHEN row_number() OVER (ORDER BY {HASH}, r, c) <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS part FROM (SELECT r, c FROM pixels WHERE c < 20) p CROSS JOIN (SELECT count(*) AS n FROM pixels WHERE c < 20) t")
+@own(f"SELECT r, c, CASE WHEN row_number() OVER (ORDER BY {HASH}, r, c) <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS part FROM (SELECT r, c FROM pixels WHERE qa & 191 = 0) p CROSS JOIN (SELECT count(*) AS n FROM pixels WHERE qa & 191 = 0) t")
+def train_test_split(spark, sf_dir):
+    return model.split(frame(spark, sf_dir, "pixels").where(raster.clear()).select("r", "c"))
+
+
 both("oversampled_classes", "WITH k AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality), m AS (SELECT max(n) AS most FROM k), p AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS pos FROM labels) SELECT p.quality, p.doc_id, 1 + CAST(floor((m.most - 1 - p.pos) / CAST(k.n AS DOUBLE)) AS BIGINT) AS copies FROM p JOIN k ON k.quality = p.quality CROSS JOIN m")
 
 FRACTION = f"SELECT p.r, p.c, least(1.0, sum({SHARED}) / {PIXEL * PIXEL}) AS f FROM buildings b JOIN pixels p ON {TOUCHED} WHERE b.material = 'building' GROUP BY p.r, p.c"
