@@ -119,3 +119,25 @@ def utm(lon: Column | str, lat: Column | str, zone: Column | int) -> tuple[Colum
         x = x + a * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
         y = y + a * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
     return 500_000 + radius * x, radius * y + F.when(lat < 0, 10_000_000.0).otherwise(0.0)
+
+
+def polygons_area(polygons: Column | str) -> Column:
+    """Area of polygons, arrays of rings of struct<x, y> of which the first is the exterior; holes are taken off, to 0 at least."""
+
+    def twice(ring: Column) -> Column:
+        n = F.size(ring)
+        cross = F.transform(ring, lambda p, i: p["x"] * F.get(ring, (i + 1) % n)["y"] - F.get(ring, (i + 1) % n)["x"] * p["y"])
+        return F.abs(F.aggregate(cross, F.lit(0.0), lambda a, v: a + v))
+
+    one = lambda rings: F.greatest(F.lit(0.0), F.aggregate(F.transform(rings, lambda r, i: F.when(i == 0, twice(r)).otherwise(-twice(r))), F.lit(0.0), lambda a, v: a + v))
+    return F.aggregate(F.transform(_col(polygons), one), F.lit(0.0), lambda a, v: a + v) / 2
+
+
+def moved(polygons: Column | str, move) -> Column:
+    """polygons with each point (x, y) replaced by move(x, y), a pair of columns."""
+
+    def point(p: Column) -> Column:
+        x, y = move(p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(_col(polygons), lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, point)))
