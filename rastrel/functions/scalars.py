@@ -70,10 +70,10 @@ def newell_slope(ring: str) -> Column:
     return F.expr(f"degrees(acos(least(1D, abs(try_divide({z}, {norm})))))").alias("slope")
 
 
-def mercator(lon: str, lat: str) -> tuple[Column, Column]:
+def mercator(lon: Column | str, lat: Column | str) -> tuple[Column, Column]:
     """EPSG:3857 coordinates of degrees."""
     r = 6378137.0
-    return F.radians(lon) * r, F.log(F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2)) * r
+    return F.radians(_col(lon)) * r, F.log(F.tan(F.lit(0.7853981633974483) + F.radians(_col(lat)) / 2)) * r
 
 
 def affine_of_worldfile(a: str, d: str, b: str, e: str, c: str, f: str) -> tuple[Column, Column]:
