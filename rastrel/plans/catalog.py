@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import graph, model, overlay, raster, select, spatial
+from ..operators import graph, model, overlay, raster, rasterize, select, spatial
+from . import scenario
 from .views import PIXEL, frame, query, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -335,3 +336,45 @@ def averaged_classes(spark, sf_dir):
     rows = rows.withColumn("p", overlay.averaged(list(sizes), [1.0, 0.5, 1.0, 1.5, 1.0]))
     best = overlay.first_best(F.transform("p", lambda x: F.round(x, 9)))
     return rows.select(F.col("p_partkey").alias("id"), best.alias("k"), F.round(F.array_max("p"), 6).alias("p"))
+
+
+# polygons on the pixel grid
+GRID = (PIXEL, 0.0, 0.0, 0.0, PIXEL, 0.0)
+
+
+def polygon(*points: tuple[str, str]) -> Column:
+    """One polygon of one ring through points given as SQL."""
+    return F.array(F.array(F.array(*(F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y")) for x, y in points))))
+
+
+@own(f"SELECT b.id, count(*) AS n, round(avg(p.st), 3) AS mean FROM buildings b JOIN pixels p ON abs((p.c + 0.5) * {PIXEL} - (x0 + x1) / 2) + abs((p.r + 0.5) * {PIXEL} - (y0 + y1) / 2) < (x1 - x0) * CAST(0.61 AS DOUBLE) GROUP BY b.id")
+def diamond_zonal_mean(spark, sf_dir):
+    x, y, h = "(x0 + x1) / 2", "(y0 + y1) / 2", "(x1 - x0) * 0.61D"
+    zones = frame(spark, sf_dir, "buildings").select("id", polygon((x, f"{y} - {h}"), (f"{x} + {h}", y), (x, f"{y} + {h}"), (f"{x} - {h}", y)).alias("polygons"))
+    rows = rasterize.zonal(frame(spark, sf_dir, "pixels").select("r", "c", "st"), zones, GRID, 100, 100)
+    return rounded(rows.groupBy("id").agg(F.count("*").alias("n"), F.avg("st").alias("mean")), "mean", digits=3)
+
+
+@own("""WITH a AS (SELECT unnest(range(CAST(floor(x0 / 7.5) AS BIGINT), CAST(ceil(x1 / 7.5) AS BIGINT))) AS x, y0, y1 FROM buildings WHERE material = 'building'),
+    b AS (SELECT DISTINCT x, y FROM (SELECT x, unnest(range(CAST(floor(y0 / 7.5) AS BIGINT), CAST(ceil(y1 / 7.5) AS BIGINT))) AS y FROM a) t WHERE x < 400 AND y < 400)
+    SELECT CAST(y // 4 AS INT) AS r, CAST(x // 4 AS INT) AS c, count(*) / CAST(16 AS DOUBLE) AS fraction FROM b GROUP BY 1, 2""")
+def supersampled_fraction(spark, sf_dir):
+    zones = frame(spark, sf_dir, "buildings").where("material = 'building'").select(polygon(("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")).alias("polygons"))
+    return rasterize.fractions(zones, GRID, 100, 100, supersample=4)
+
+
+@own("""WITH b AS (SELECT area_m2 AS w, CASE WHEN slope < 40 THEN slope / 45 END AS v1, slope / 90 AS v2, slope - 20 AS v3 FROM buildings),
+    u AS (SELECT 'ndvi' AS parameter, v1 AS v, w FROM b UNION ALL SELECT 'albedo', v2, w FROM b UNION ALL SELECT 'ndbi', v3, w FROM b)
+    SELECT parameter, count(v) AS valid_roofs, round(avg(v), 6) AS unweighted_mean, round(sum(v * w) / sum(CASE WHEN v IS NOT NULL THEN w END), 6) AS area_weighted_mean FROM u GROUP BY parameter""")
+def green_roof_parameters(spark, sf_dir):
+    means = {"mean_ndvi": "CASE WHEN slope < 40 THEN slope / 45 END", "mean_albedo": "slope / 90", "mean_ndbi": "slope - 20"}
+    roofs = frame(spark, sf_dir, "buildings").select(F.col("area_m2").alias("roof_area_m2"), *(F.expr(e).alias(n) for n, e in means.items()))
+    return rounded(scenario.summary(roofs), "unweighted_mean", "area_weighted_mean")
+
+
+@own("""SELECT 'all' AS scope, count(*) AS n, round(avg(d), 6) AS mean, round(sum(d * area_m2) / sum(area_m2), 6) AS weighted, round(max(d), 6) AS most FROM (SELECT *, slope / 45 - 0.5 AS d FROM buildings) b
+    UNION ALL SELECT 'selected', count(*), round(avg(d), 6), round(sum(d * area_m2) / sum(area_m2), 6), round(max(d), 6) FROM (SELECT *, slope / 45 - 0.5 AS d FROM buildings WHERE material = 'building') b""")
+def cooling_statistics(spark, sf_dir):
+    rows = frame(spark, sf_dir, "buildings").select("id", F.expr("slope / 45 - 0.5").alias("cooling_mean"), F.col("area_m2").alias("roof_area_m2"), F.expr("material = 'building'").alias("selected_for_greening"))
+    found = [(scope, *values[:4]) for scope, values in scenario.building_statistics(rows).items()]
+    return rounded(spark.createDataFrame(found, "scope string, n long, mean double, weighted double, most double"), "mean", "weighted", "most")
