@@ -73,7 +73,7 @@ def main(argv: list[str] | None = None) -> None:
         files.write_geojson_lines(roofs, args.out, mode="overwrite")
         summary.coalesce(1).write.mode("overwrite").csv(args.summary_csv, header=True)
     else:
-        layer = files.read_geojson(spark, args.buildings)
+        layer = scenario.features(spark, args.buildings)
         layer = layer.select(F.col("properties").getItem(args.id_field).alias(args.id_field), "properties", "polygons")
         stats = citygml.slope_stats(citygml.read_roof_planes(spark, args.citygml_dir, args.gml_pattern), layer, args.id_field, args.low_slope_threshold_deg)
         rows = citygml.enrich(layer, stats, args.id_field, args.replace_existing_fields)

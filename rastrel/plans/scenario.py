@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import model, raster, rasterize, select
-from ..sources import files, geotiff
+from ..sources import files, geopackage, geotiff
 
 # Ends of the names of a scene's bands.
 BANDS = {"st": "_ST_B10.TIF", "qa": "_QA_PIXEL.TIF", "b2": "_SR_B2.TIF", "b4": "_SR_B4.TIF", "b5": "_SR_B5.TIF", "b6": "_SR_B6.TIF", "b7": "_SR_B7.TIF"}
@@ -111,9 +111,16 @@ def projected(features: DataFrame, epsg: int | None, lonlat: bool) -> DataFrame:
     return features.withColumn("polygons", scalars.moved("polygons", move))
 
 
+def features(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ordinal, properties, polygons) of a GeoPackage's first layer, or of GeoJSON collections."""
+    if path.lower().endswith(".gpkg"):
+        return geopackage.read_layer(spark, path).select("file", F.col("fid").alias("ordinal"), "properties", "polygons")
+    return files.read_geojson(spark, path)
+
+
 def read_layer(spark: SparkSession, path: str, epsg: int | None, lonlat: bool, id_field: str, *fields: str | None) -> DataFrame:
     """(id, fields, polygons, roof_area_m2) of polygons of area above 0; ids are the property, else file and place."""
-    rows = projected(files.read_geojson(spark, path), epsg, lonlat)
+    rows = projected(features(spark, path), epsg, lonlat)
     ident = F.coalesce(F.col("properties").getItem(id_field), F.concat_ws("#", "file", "ordinal"))
     rows = rows.select(ident.alias("id"), *(F.col("properties").getItem(x).alias(x) for x in dict.fromkeys(filter(None, fields))), "polygons")
     return rows.withColumn("roof_area_m2", scalars.polygons_area("polygons")).where("roof_area_m2 > 0")
@@ -123,7 +130,7 @@ def within(pixels: DataFrame, spark: SparkSession, meta: dict, layer: DataFrame,
     """pixels inside the boundary's polygons, or without one inside the box around the layer."""
     transform, height, width = grid_of(meta)
     if boundary:
-        shape = projected(files.read_geojson(spark, boundary), meta["epsg"], lonlat).select("polygons")
+        shape = projected(features(spark, boundary), meta["epsg"], lonlat).select("polygons")
         return pixels.join(rasterize.cells(shape.withColumn("polygons", rasterize.on_grid("polygons", transform)), height, width).distinct(), ["r", "c"], "left_semi")
     points = F.flatten(F.flatten(rasterize.on_grid("polygons", transform)))
     ends = layer.select(F.explode(points).alias("p")).agg(*(f("p." + k) for k in "xy" for f in (F.min, F.max))).first()
