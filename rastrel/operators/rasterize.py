@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import moved, ring_holds
+from ..functions.scalars import moved
 
 
 def on_grid(polygons: Column | str, transform: tuple[float, ...], times: int = 1) -> Column:
@@ -14,45 +14,53 @@ def on_grid(polygons: Column | str, transform: tuple[float, ...], times: int = 1
     return moved(polygons, lambda x, y: ((x - c) / a * times, (y - f) / e * times))
 
 
-def _holds(polygon: Column, x: Column, y: Column) -> Column:
-    """Whether a point lies in an odd number of a polygon's rings."""
-    return F.aggregate(F.transform(polygon, lambda ring: F.when(ring_holds(ring, x, y), 1).otherwise(0)), F.lit(0), lambda s, v: s + v) % 2 == 1
+def _columns(first: Column, last: Column, width: int) -> Column:
+    """Columns of the frame from first to last; null for none."""
+    first, last = F.greatest(F.lit(0), first.cast("int")), F.least(F.lit(width - 1), last.cast("int"))
+    return F.when(last >= first, F.sequence(first, last))
 
 
-def _crossed(ring: Column, x: Column, y: Column) -> Column:
-    """Whether an edge of a ring runs through the inside of the unit cell around (x, y), by separating axes."""
+def _edges(ring: Column, make) -> Column:
+    """make(p, q) of each edge of a ring, nulls left out."""
     n = F.size(ring)
+    return F.filter(F.transform(ring, lambda p, i: make(p, F.get(ring, (i + 1) % n))), lambda x: x.isNotNull())
 
-    def edge(i: Column) -> Column:
-        p, q = F.get(ring, i), F.get(ring, (i + 1) % n)
-        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
-        near = (F.abs((p["x"] + q["x"]) / 2 - x) < F.abs(dx) / 2 + 0.5) & (F.abs((p["y"] + q["y"]) / 2 - y) < F.abs(dy) / 2 + 0.5)
-        return near & (F.abs(dx * (y - p["y"]) - dy * (x - p["x"])) < (F.abs(dx) + F.abs(dy)) / 2)
 
-    return F.exists(F.sequence(F.lit(0), n - 1), edge)
+def _held(polygon: Column, y: Column, width: int) -> Column:
+    """Arrays of the columns whose centres at height y lie in an odd number of a polygon's rings: every second gap of its crossings."""
+    crossing = lambda p, q: F.when((p["y"] > y) != (q["y"] > y), p["x"] + (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]))
+    xs = F.array_sort(F.flatten(F.transform(polygon, lambda ring: _edges(ring, crossing))))
+    gap = lambda x, i: F.when(i % 2 == 0, _columns(F.ceil(x - 0.5), F.ceil(F.get(xs, i + 1) - 0.5) - 1, width))
+    return F.filter(F.transform(xs, gap), lambda span: span.isNotNull())
+
+
+def _crossed(ring: Column, r: Column, width: int) -> Column:
+    """Arrays of the columns of row r through whose insides an edge of a ring runs."""
+
+    def part(p: Column, q: Column) -> Column:
+        low, high = F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"])
+        at = lambda y: F.when(q["y"] == p["y"], p["x"]).otherwise(p["x"] + (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]))
+        ends = [F.when(low == high, p["x"]).otherwise(at(F.greatest(low, r))), F.when(low == high, q["x"]).otherwise(at(F.least(high, r + 1)))]
+        return F.when((low < r + 1) & (high > r), _columns(F.floor(F.least(*ends)), F.ceil(F.greatest(*ends)) - 1, width))
+
+    return _edges(ring, part)
 
 
 def cells(zones: DataFrame, height: int, width: int, all_touched: bool = False) -> DataFrame:
     """zones(polygons, ...) without polygons, once for each cell (r, c) of the frame whose centre a polygon holds, or that it touches.
 
-    Cells of the bounding box are dealt out by row first and tested one by one, so a polygon costs its box times its corners.
-    Null and empty polygons, and rings of fewer than three points, cover nothing.
+    A polygon is dealt out by row, and a row's columns follow from the crossings of its edges, so the cost is rows times
+    corners and the cells found, not the bounding box. Null and empty polygons, and rings of fewer than three points, cover nothing.
     """
-    rings = F.filter(F.flatten("polygons"), lambda ring: F.size(ring) >= 3)
-    xs, ys = F.transform(F.flatten(rings), lambda p: p["x"]), F.transform(F.flatten(rings), lambda p: p["y"])
-    rows = zones.withColumns({"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)})
-
-    def span(lo: str, hi: str, extent: int) -> Column:
-        first = F.greatest(F.lit(0.0), F.floor(lo)).cast("int")
-        last = F.least(F.lit(float(extent)), F.ceil(hi)).cast("int") - 1
-        return F.when(last >= first, F.sequence(first, last))
-
-    rows = rows.withColumn("r", F.explode(span("_y0", "_y1", height))).withColumn("c", F.explode(span("_x0", "_x1", width)))
-    x, y = F.col("c") + 0.5, F.col("r") + 0.5
-    test = F.exists("polygons", lambda p: _holds(p, x, y))
+    polygons = F.transform("polygons", lambda polygon: F.filter(polygon, lambda ring: F.size(ring) >= 3))
+    rows = zones.withColumn("polygons", polygons)
+    ys = F.transform(F.flatten(F.flatten("polygons")), lambda p: p["y"])
+    rows = rows.withColumns({"_y0": F.greatest(F.lit(0.0), F.floor(F.array_min(ys))).cast("int"), "_y1": F.least(F.lit(float(height)), F.ceil(F.array_max(ys))).cast("int") - 1})
+    rows = rows.withColumn("r", F.explode(F.when(F.col("_y1") >= F.col("_y0"), F.sequence("_y0", "_y1"))))
+    spans = F.flatten(F.transform("polygons", lambda polygon: _held(polygon, F.col("r") + 0.5, width)))
     if all_touched:
-        test = test | F.exists(rings, lambda ring: _crossed(ring, x, y))
-    return rows.where(test).drop("polygons", "_x0", "_x1", "_y0", "_y1")
+        spans = F.concat(spans, F.flatten(F.transform(F.flatten("polygons"), lambda ring: _crossed(ring, F.col("r"), width))))
+    return rows.withColumn("c", F.explode(F.array_distinct(F.flatten(spans)))).drop("polygons", "_y0", "_y1")
 
 
 def fractions(zones: DataFrame, transform: tuple[float, ...], height: int, width: int, supersample: int = 4, all_touched: bool = False) -> DataFrame:
