@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rastrel.llm import byte_bpe, components, minhash, mixing, quality, queries, rules, secrets, sharding, simhash, suffixes, token_counts
 
@@ -366,6 +367,26 @@ def test_quality_edges(spark, edges, empty):
     assert quality.score(empty, labels).count() == 0 and quality.kept_documents(empty, labels).count() == 0
 
 
+def test_quality_sample(spark):
+    """A sample below the labelled documents is those of the smallest hashes, each once."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").join(docs.select("doc_id"), "doc_id", "left_semi")
+    n = labels.count()
+    marked = quality.measure(docs.union(docs)).cache()
+    least = labels.orderBy(F.xxhash64(F.lit(quality.SEED), "doc_id"), "doc_id").limit(n // 3)
+    weights, bias = quality.evidence_model(marked, labels, sample=n // 3)
+    expected, expected_bias = quality.evidence_model(marked, least)
+    assert any(weights) and weights == pytest.approx(expected) and bias == pytest.approx(expected_bias)
+
+
+def test_mixing_many_shards(spark, monkeypatch):
+    """Shards follow the words of all sources, so their number stays bounded, and a hot source has most of them."""
+    sizes = {"hot": 40_000_000_000_000, "warm": 1_000_000, None: 0}
+    shards = mixing.shards_of(sizes)
+    assert shards["warm"] == shards[None] == 1 and mixing.SHARDS <= shards["hot"] <= 2 * mixing.SHARDS
+    assert sum(mixing.shards_of({str(i): 10**9 for i in range(20_000)}).values()) <= 20_000 + 2 * mixing.SHARDS
+
+
 def test_sparse_sites_shrink(spark):
     rows = [(i, "good words here and there " * 5, "en", "big") for i in range(200)] + [(1000, "### $$$ %%% " * 20, "en", "tiny")] + [(2000 + i, "### $$$ %%% " * 20, "en", "bad") for i in range(50)]
     labels = [(i, 1) for i in range(100)] + [(2000 + i, 0) for i in range(25)]
