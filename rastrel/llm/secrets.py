@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -23,7 +24,12 @@ _KEYWORDS = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
 #: Words that make their surroundings sensitive, and what may be a secret there.
 _SENSITIVE = re.compile(r"passw|passphrase|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|bearer|authorization|connection[_-]?string|signature", re.IGNORECASE | re.ASCII)
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: A value or key of a run: '=' belongs to it only as padding at the run's end.
+_PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
+#: What of a key follows its sensitive word, to the separator that ends the key.
+_KEY_END = re.compile(r"(?i:ords?|ds?|s)?(?i:[_-](?:keys?|ids?|value))*(?:[_-]|\Z)")
+SHORTEST, LONGEST = 16, 512
 #: Code points before and after a candidate that count as its surroundings, and after a sensitive word.
 AROUND, REACH = 400, 80
 #: Marginal compressed bytes a byte of a candidate, from which it is reported, and the bytes it adds at least.
@@ -61,27 +67,51 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return len(_compressor.compress((around + candidate).encode())) - len(_compressor.compress(around.encode()))
 
 
+def _values(text: str, start: int, end: int, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What a part holds besides the keys around its sensitive words; a separator next to a key belongs to neither."""
+    out, at = [], start
+    for a, b in words:
+        out.append((at, a - 1 if a > at and text[a - 1] in "_-" else a))
+        key = _KEY_END.match(text, b, end)
+        at = key.end() if key else b
+    return [*out, (at, end)]
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Strings in reach of a sensitive word that hardly compress given code identifiers and their surroundings.
 
-    Spans that overlap a base span, letters or digits alone of one kind, and what the compressor knows are left out.
+    In a run like KEY=VALUE or KEY_VALUE the value is judged; where no value is reported, the whole part between '=' and
+    then the whole run are. Spans that overlap a base span, letters alone, and what the compressor knows are left out.
     """
-    out, seen = [], set()
-    for near in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, near.end(), min(len(text), near.end() + REACH + 512)):
-            start, end = m.span()
-            if start > near.end() + REACH:
-                break
-            if (start, end) in seen or any(a < end and start < b for a, b, _ in taken):
-                continue
-            seen.add((start, end))
-            one = m[0]
-            if one.isalpha() and (one.islower() or one.isupper() or one.istitle()) or not any(c.isdigit() for c in one):
-                continue
-            added = marginal_bytes(one, text[max(0, start - AROUND) : start], text[end : end + AROUND])
-            if added >= LEAST_BYTES and added >= NOVELTY * len(one):
-                out.append((start, end, "novel"))
-    return out
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+
+    def novel(start: int, end: int) -> bool:
+        near = bisect.bisect_right(ends, start) - 1
+        if not SHORTEST <= end - start <= LONGEST or near < 0 or ends[near] < start - REACH or any(a < end and start < b for a, b, _ in taken):
+            return False
+        one = text[start:end]
+        if not any(c.isdigit() for c in one):
+            return False
+        added = marginal_bytes(one, text[max(0, start - AROUND) : start], text[end : end + AROUND])
+        return added >= LEAST_BYTES and added >= NOVELTY * len(one)
+
+    def first_novel(*levels: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        for i, level in enumerate(levels):
+            if level not in levels[:i] and (found := [x for x in level if novel(*x)]):
+                return found
+        return []
+
+    out = []
+    for run in _RUN.finditer(text):
+        if bisect.bisect_left(ends, run.start() - REACH) == bisect.bisect_left(starts, run.end()):
+            continue
+        parts, found = [m.span() for m in _PART.finditer(text, *run.span())], []
+        for a, b in parts:
+            held = words[bisect.bisect_left(starts, a) : bisect.bisect_right(ends, b)]
+            found += first_novel(_values(text, a, b, held), [(a, b)])
+        out += found or (first_novel([run.span()]) if parts != [run.span()] else [])
+    return [(a, b, "novel") for a, b in out]
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:

@@ -159,6 +159,18 @@ def test_secrets_novelty_and_redaction(spark):
     assert [tuple(r) for r in secrets.redact(df).orderBy("doc_id").collect()] == [(1, 'x <assign>" y', 2.5), (2, None, None)]
 
 
+def novel(text):
+    return [text[a:b] for a, b, k in secrets.spans(text) if k == "novel"]
+
+
+def test_secrets_of_keys_without_spaces():
+    key = "eyJ9Qm3xT7vLpZ2kWc8RfY1nUa5Hd0GsB4oK6"
+    for form in ("passphrase={}", "private_key={}", "credential={}", "access_key={}", "api-key={}", "SECRET_KEY={}", "export AWS_SECRET_ACCESS_KEY={}", "TOKEN_{}", "passwords_{}", "secret_key_{}", "bearer{}", "https://a.b/c?signature={}&x=1"):
+        assert novel(f"first line\n{form.format(key)}\nlast line\n") == [key], form
+    assert novel(f"private_key={key}==\n") == [key + "=="] and novel("authorization a9X=bQ7d2=Zk81vTq\n") == ["a9X=bQ7d2=Zk81vTq"]
+    assert novel("AWS_SECRET_ACCESS_KEY=getElementById0 api-key=placeholder_client_1 token_us-east-1-production\n") == []
+
+
 @pytest.mark.parametrize("table", ["edges", "docs", "empty"])
 @pytest.mark.parametrize("hot", [suffixes.HOT, 2])
 def test_suffixes(table, hot, request):
