@@ -67,6 +67,13 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return len(_compressor.compress((around + candidate).encode())) - len(_compressor.compress(around.encode()))
 
 
+def _surroundings(text: str, start: int, end: int) -> tuple[str, str]:
+    """AROUND code points before and after a candidate, free of its own copies, those across the far edges too."""
+    one, wide = text[start:end], AROUND + end - start
+    before, after = (x.replace(one, "\n") for x in (text[max(0, start - wide) : start], text[end : end + wide]))
+    return before[-AROUND:], after[:AROUND]
+
+
 def _values(text: str, start: int, end: int, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """What a part holds besides the keys around its sensitive words; a separator next to a key belongs to neither."""
     out, at = [], start
@@ -93,7 +100,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
         one = text[start:end]
         if not any(c.isdigit() for c in one):
             return False
-        added = marginal_bytes(one, text[max(0, start - AROUND) : start], text[end : end + AROUND])
+        added = marginal_bytes(one, *_surroundings(text, start, end))
         return added >= LEAST_BYTES and added >= NOVELTY * len(one)
 
     def first_novel(*levels: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -171,6 +171,15 @@ def test_secrets_of_keys_without_spaces():
     assert novel("AWS_SECRET_ACCESS_KEY=getElementById0 api-key=placeholder_client_1 token_us-east-1-production\n") == []
 
 
+def test_secrets_that_stand_twice():
+    rng = random.Random(8)
+    for gap in (0, 50, 380, 395):
+        key = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(39)) + "7"
+        fill = " ".join(["words"] * 80)[:gap]
+        text = f"credential: {key}\n{fill}\nbearer {key}\n"
+        assert novel(text) == [key, key] and key not in secrets.redacted(text), gap
+
+
 @pytest.mark.parametrize("table", ["edges", "docs", "empty"])
 @pytest.mark.parametrize("hot", [suffixes.HOT, 2])
 def test_suffixes(table, hot, request):
