@@ -29,8 +29,9 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 _PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
 #: What of a key follows its sensitive word, to the separator that ends the key.
 _KEY_END = re.compile(r"(?i:ords?|ds?|s)?(?i:[_-](?:keys?|ids?|value))*(?:[_-]|\Z)")
-SHORTEST, LONGEST = 16, 512
-#: Code points before and after a candidate that count as its surroundings, and after a sensitive word.
+#: Code points of a candidate at least, and of the pieces in which the novelty of a longer one is measured.
+SHORTEST, PIECE = 16, 512
+#: Code points before and after a candidate that count as its surroundings, and on either side of a sensitive word.
 AROUND, REACH = 400, 80
 #: Marginal compressed bytes a byte of a candidate, from which it is reported, and the bytes it adds at least.
 NOVELTY, LEAST_BYTES = 0.72, 14
@@ -87,21 +88,26 @@ def _values(text: str, start: int, end: int, words: list[tuple[int, int]]) -> li
 def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Strings in reach of a sensitive word that hardly compress given code identifiers and their surroundings.
 
-    In a run like KEY=VALUE or KEY_VALUE the value is judged; where no value is reported, the whole part between '=' and
-    then the whole run are. Spans that overlap a base span, letters alone, and what the compressor knows are left out.
+    In a run like KEY=VALUE or KEY_VALUE the value is judged; where no value is reported, the whole part between '=' is,
+    and the whole run if all its parts are too short. Candidates may be of any length; one above PIECE is reported whole when one of its pieces is
+    novel. Spans that overlap a base span, words without digits all of one case or capitalized (as in names
+    joined by '_' or '-'), and what the compressor knows are left out.
     """
     words = [m.span() for m in _SENSITIVE.finditer(text)]
     starts, ends = [a for a, _ in words], [b for _, b in words]
 
     def novel(start: int, end: int) -> bool:
-        near = bisect.bisect_right(ends, start) - 1
-        if not SHORTEST <= end - start <= LONGEST or near < 0 or ends[near] < start - REACH or any(a < end and start < b for a, b, _ in taken):
+        first, last = bisect.bisect_left(ends, start - REACH), bisect.bisect_right(starts, end + REACH) - 1
+        # a word within the candidate does not count
+        if end - start < SHORTEST or first > last or starts[first] >= start and ends[last] <= end or any(a < end and start < b for a, b, _ in taken):
             return False
         one = text[start:end]
-        if not any(c.isdigit() for c in one):
+        if not any(c.isdigit() for c in one) and (one.islower() or one.isupper() or one.istitle()):
             return False
-        added = marginal_bytes(one, *_surroundings(text, start, end))
-        return added >= LEAST_BYTES and added >= NOVELTY * len(one)
+        around = _surroundings(text, start, end)
+        size = -(-len(one) // -(-len(one) // PIECE))
+        pieces = (one[i : i + size] for i in range(0, len(one), size))
+        return any(marginal_bytes(x, *around) >= max(LEAST_BYTES, NOVELTY * len(x)) for x in pieces)
 
     def first_novel(*levels: list[tuple[int, int]]) -> list[tuple[int, int]]:
         for i, level in enumerate(levels):
@@ -111,13 +117,13 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
 
     out = []
     for run in _RUN.finditer(text):
-        if bisect.bisect_left(ends, run.start() - REACH) == bisect.bisect_left(starts, run.end()):
+        if bisect.bisect_left(ends, run.start() - REACH) == bisect.bisect_right(starts, run.end() + REACH):
             continue
         parts, found = [m.span() for m in _PART.finditer(text, *run.span())], []
         for a, b in parts:
             held = words[bisect.bisect_left(starts, a) : bisect.bisect_right(ends, b)]
             found += first_novel(_values(text, a, b, held), [(a, b)])
-        out += found or (first_novel([run.span()]) if parts != [run.span()] else [])
+        out += found or (first_novel([run.span()]) if all(b - a < SHORTEST for a, b in parts) else [])
     return [(a, b, "novel") for a, b in out]
 
 

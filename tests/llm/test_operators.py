@@ -180,6 +180,21 @@ def test_secrets_that_stand_twice():
         assert novel(text) == [key, key] and key not in secrets.redacted(text), gap
 
 
+def test_secrets_of_any_length_without_digits_and_before_the_word():
+    rng = random.Random(7)
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for n in (512, 513, 740, 5000, 200_000):
+        blob = some(n, letters + "0123456789+/")
+        # a sensitive word that chance puts into a blob would cut it
+        assert secrets._SENSITIVE.search(blob) or novel(f"private_key: {blob}\n") == [blob], n
+    key = some(28, letters)
+    assert novel(f"passphrase: {key}\n") == [key] and novel("passphrase: validate_remote_user_profile X-Forwarded-For-Header\n") == []
+    key = some(37, letters + "0123456789")
+    assert novel(f"{key} # api token\n") == [key] and novel(f"{key}{' ' * 81}token\n") == [] and novel(f"{key}{' ' * 80}token\n") == [key]
+    assert novel(f"token: {'a1' * 2000}\ntoken {'=' * 900} {'Abcdefgh' * 90}\n") == []
+
+
 @pytest.mark.parametrize("table", ["edges", "docs", "empty"])
 @pytest.mark.parametrize("hot", [suffixes.HOT, 2])
 def test_suffixes(table, hot, request):
