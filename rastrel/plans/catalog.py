@@ -54,6 +54,12 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.indices(raster.surface_temperature(frame(spark, sf_dir, "pixels"))).select("r", "c", "lst", "ndvi", "albedo", "ndbi")
 
 
+def rows_of(pixels: DataFrame) -> int:
+    """Rows of the frame: up to the table's last in one aggregation, and the 100 of the SQL's frame at least."""
+    last = pixels.agg(F.max("r")).first()[0]
+    return max(100, 0 if last is None else last + 1)
+
+
 # raster algebra
 @own(f"SELECT r, c, round({LST}, 9) AS lst FROM pixels")
 def surface_temperature(spark, sf_dir):
@@ -90,7 +96,8 @@ both("grey_mask", "SELECT r, c, CAST(round(0.114 * (b2 % 256) + 0.587 * (b4 % 25
 
 @own("SELECT DISTINCT r + dr AS r, c + dc AS c FROM (SELECT r, c FROM pixels WHERE qa = 8) p CROSS JOIN (SELECT unnest(range(-2, 3)) AS dr) a CROSS JOIN (SELECT unnest(range(-2, 3)) AS dc) b WHERE r + dr BETWEEN 0 AND 99 AND c + dc BETWEEN 0 AND 99")
 def dilated_mask(spark, sf_dir):
-    out = raster.dilate(frame(spark, sf_dir, "pixels").where("qa = 8"), 2, 100, 100)
+    pixels = frame(spark, sf_dir, "pixels")
+    out = raster.dilate(pixels.where("qa = 8"), 2, rows_of(pixels), 100)
     return out.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
 
 
@@ -314,7 +321,7 @@ TILES = "SELECT ty * 5 AS ty, tx * 5 AS tx FROM (SELECT unnest(range(0, 19)) AS
 @own(f"SELECT CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx, round(avg(CASE WHEN qa = 0 THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM pixels JOIN ({TILES}) t ON r BETWEEN ty AND ty + 9 AND c BETWEEN tx AND tx + 9 GROUP BY 1, 2 HAVING avg(CASE WHEN qa = 0 THEN 1.0 ELSE 0.0 END) >= 0.55")
 def covered_tiles(spark, sf_dir):
     mask = frame(spark, sf_dir, "pixels").select("r", "c", F.when(F.col("qa") == 0, 1.0).otherwise(0.0).alias("m"))
-    return rounded(overlay.covered_tiles(mask, 10, 5, 100, 100), "coverage")
+    return rounded(overlay.covered_tiles(mask, 10, 5, rows_of(mask), 100), "coverage")
 
 
 @own(f"""WITH v AS (SELECT r, c, ty * 100 + tx AS tile, (ty + 2 * tx) // 5 % 4 AS k, ((ty * 3 + tx * 7) % 100) / CAST(100 AS DOUBLE) AS conf, ((ty + tx) % 60) / CAST(100 AS DOUBLE) AS base
@@ -322,7 +329,8 @@ def covered_tiles(spark, sf_dir):
     n AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY k <> 0 AND conf >= 0.4 AND conf - base >= 0.125 DESC, conf DESC, tile) AS place FROM v)
     SELECT r, c, CAST(CASE WHEN k <> 0 AND conf >= 0.4 AND conf - base >= 0.125 THEN k ELSE 0 END AS INT) AS k FROM n WHERE place = 1""")
 def confident_overlay(spark, sf_dir):
-    tiles = overlay.on_tiles(frame(spark, sf_dir, "pixels").select("r", "c"), 10, 5, 100, 100)
+    pixels = frame(spark, sf_dir, "pixels").select("r", "c")
+    tiles = overlay.on_tiles(pixels, 10, 5, rows_of(pixels), 100)
     votes = tiles.select("r", "c", F.expr("ty * 100 + tx").alias("tile"), F.expr("(ty + 2 * tx) div 5 % 4").cast("int").alias("k"), F.expr("((ty * 3 + tx * 7) % 100) / 100D").alias("conf"), F.expr("((ty + tx) % 60) / 100D").alias("base"))
     return overlay.confident(votes, 0, 0.4, 0.125)
 
