@@ -222,7 +222,8 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, jaccard): pairs of representatives whose 5-word shingle sets have the given Jaccard similarity or more.
 
-    Equal shingle sets are first reduced to their smallest doc_id (see classes), so copies never become pairs. Signature
+    Equal shingle sets are first reduced to their smallest doc_id, so copies never become pairs; shingle_classes names the
+    representative of every document, and so the links within a class and of its other members. Signature
     bands are joined in Spark; a bucket above BUCKET members is cut into chunks that meet two at a time. Candidates are
     verified on the shingle hashes. Texts without words link to nothing; rows with a null doc_id are left out.
     """
@@ -239,8 +240,26 @@ def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     return both.select("a", "b", (shared / (F.size("a_shingles") + F.size("b_shingles") - shared)).alias("jaccard")).where(F.col("jaccard") >= similarity)
 
 
-def _classes(docs: DataFrame) -> DataFrame:
+def shingle_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, sets) for every row with a doc_id: the representative that stands for it in near_duplicate_links.
+
+    Rows of one class have equal shingle sets, whose hash is sets; class_id is their smallest doc_id. Texts without words are
+    in no class: both are null.
+    """
+    marked = cut(_marked(docs).select("doc_id", F.when(F.size("shingles") > 0, _set_hash()).alias("sets")))
+    least = marked.where("sets is not null").groupBy("sets").agg(F.min("doc_id").alias("class_id"))
+    return marked.join(least, "sets", "left").select("doc_id", "class_id", "sets")
+
+
+def _set_hash() -> Column:
+    return F.sha2(F.col("shingles").cast("string"), 256)
+
+
+def _marked(docs: DataFrame) -> DataFrame:
     narrow = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    marked = narrow.mapInArrow(_signed_batches, "doc_id long, signature binary, bands array<long>, shingles array<long>")
-    kept = marked.where("size(shingles) > 0").groupBy(F.sha2(F.col("shingles").cast("string"), 256).alias("sets")).agg(F.min_by(F.struct("doc_id", "signature", "bands", "shingles"), "doc_id").alias("x"))
-    return kept.select("x.*")
+    return narrow.mapInArrow(_signed_batches, "doc_id long, signature binary, bands array<long>, shingles array<long>")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    kept = _marked(docs).where("size(shingles) > 0").groupBy(_set_hash().alias("sets")).agg(F.min_by(F.struct("doc_id", "signature", "bands", "shingles"), "doc_id").alias("x"))
+    return kept.select("sets", "x.*")

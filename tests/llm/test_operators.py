@@ -127,6 +127,19 @@ def test_minhash_links(spark):
     assert got == {(i, 100 + i) for i in range(6)}
 
 
+def test_minhash_classes_reach_every_document(spark):
+    rng = random.Random(6)
+    base = [" ".join(str(rng.randrange(10**6)) for _ in range(120)) for _ in range(3)]
+    passage = " ".join(base[2].split()[:5])
+    rows = [(1, base[0]), (2, base[0] + " end"), (3, base[0]), (4, base[0].replace(" ", "\n ")), (5, base[0] + " end"), (6, base[1]), (7, " ".join(["x"] * 9)), (8, " ".join(["x"] * 20)), (9, passage), (10, ""), (11, None), (None, base[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in minhash.shingle_classes(df).collect()}
+    assert found == {1: 1, 3: 1, 4: 1, 2: 2, 5: 2, 6: 6, 7: 7, 8: 7, 9: 9, 10: None, 11: None}
+    links = {(r.a, r.b) for r in minhash.near_duplicate_links(df).collect()}
+    pairs = {(x, y) for x in found for y in found if x < y and found[x] and (found[x] == found[y] or tuple(sorted((found[x], found[y] or 0))) in links)}
+    assert pairs == {(x, y) for x in range(1, 6) for y in range(x + 1, 6)} | {(7, 8)}
+
+
 def base_spans(text):
     out = []
     key = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
