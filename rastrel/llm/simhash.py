@@ -6,9 +6,10 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -53,6 +54,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def _fingerprint_of(text: str) -> Column:
+    @F.pandas_udf("long")
+    def mark(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((fingerprint((x or "").encode()) for x in texts), np.uint64, len(texts)).view(np.int64))
+
+    return mark(F.col(text))
+
+
 def pivots() -> np.ndarray:
     """Reference fingerprints: zero first (its distance is the weight), then fixed pseudo-random ones."""
     return np.concatenate([np.zeros(1, np.uint64), np.random.default_rng(SEED).integers(0, 2**64, PIVOTS - 1, np.uint64)])
@@ -142,14 +151,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     never become pairs. A null doc_id keeps its row and never names a component of others. Repeated rows come back
     as often as they came; an empty table gives an empty one; other columns are not read.
     """
+    return _rooted(docs).select("doc_id", "fp", "component_id")
+
+
+def _rooted(docs: DataFrame) -> DataFrame:
+    """near_duplicates with root, which tells components apart whose smallest doc_id is the same."""
     marked = cut(fingerprints(docs))
     firsts = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(fingerprint_links(firsts.select("fp")))
     named = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = cut(named)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = cut(named.join(least, "root").select("fp", "component_id"))
-    return marked.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = cut(named.join(least, "root").select("fp", "component_id", "root"))
+    return marked.join(names, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def fingerprint_hex(fp: str = "fp"):
@@ -158,13 +172,20 @@ def fingerprint_hex(fp: str = "fp"):
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """documents with one row of each component: its smallest doc_id's. Rows without a doc_id stay; all columns stay.
+    """documents with one row of each component: its smallest (doc_id, fp)'s. Rows without a doc_id stay; all columns stay.
 
-    Of several rows with the surviving doc_id one stays.
+    Of several rows with that doc_id and fp the first by a hash of text and by text stays, in any order if these are equal
+    too. Only doc_ids that repeat and survive somewhere are fingerprinted again, to be told apart.
     """
-    found = cut(near_duplicates(docs))
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = cut(_rooted(docs))
+    stay = cut(found.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select("x.*"))
+    again = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").join(stay, "doc_id", "left_semi"))
     kept = docs.join(stay.select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
-    if stay.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+    if again.limit(1).count():
+        twice = again.select(F.col("doc_id").alias("__kept"))
+        marked = kept.join(twice, F.col("doc_id") == F.col("__kept"), "left_semi").withColumn("__fp", _fingerprint_of("text"))
+        marked = marked.join(stay.select(F.col("doc_id").alias("__kept"), F.col("fp").alias("__mark")), (F.col("doc_id") == F.col("__kept")) & (F.col("__fp") == F.col("__mark")), "left_semi")
+        order = Window.partitionBy("doc_id", "__fp").orderBy(F.xxhash64("text"), "text")
+        marked = marked.withColumn("__place", F.row_number().over(order)).where("__place = 1").select(*docs.columns)
+        kept = kept.join(twice, F.col("doc_id") == F.col("__kept"), "left_anti").union(marked)
     return kept.union(docs.where("doc_id is null"))

@@ -86,6 +86,16 @@ def test_one_of_each(edges, docs):
     assert kept.count(3) == 1 and 4 not in kept and kept.count(None) == 1
 
 
+def test_one_of_each_of_repeated_ids(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(200))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(5, a), (5, b), (5, b), (3, c), (7, c), (7, d), (None, e), (8, e), (9, "\n" + d)]
+    for n in (1, 4):
+        kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+        same([tuple(r) for r in kept], [(5, a), (5, b), (3, c), (7, d), (None, e), (8, e)])
+
+
 def test_components_of_a_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(1000, 1000), (2000, 2001), (2001, 2000)], "a long, b long")
