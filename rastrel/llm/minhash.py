@@ -195,25 +195,33 @@ def successor_fingerprints(docs: DataFrame) -> DataFrame:
     return dealt.select("bucket", "guard", "doc_id", "text").mapInArrow(_in_order, SCHEMA)
 
 
-def _signed_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows_of_bands(similarity: float) -> int:
+    """The most values a band may have, ROWS at most, for the bands to miss a pair of that similarity with probability below 1e-4."""
+    for rows in range(ROWS, 0, -1):
+        if (1 - similarity**rows) ** (PERMUTATIONS // rows) < 1e-4:
+            return rows
+    raise ValueError(f"{PERMUTATIONS} permutations do not find pairs of similarity {similarity}")
+
+
+def _signed_batches(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [x.as_py() for x in batch.column(1)]
         marks = signatures(texts)
-        bands = [[int.from_bytes(hashlib.blake2b(row[k * ROWS : (k + 1) * ROWS].tobytes(), digest_size=8).digest(), "little", signed=True) for k in range(BANDS)] for row in marks]
+        bands = [[int.from_bytes(hashlib.blake2b(row[k * rows : (k + 1) * rows].tobytes(), digest_size=8).digest(), "little", signed=True) for k in range(PERMUTATIONS // rows)] for row in marks]
         hashes, owner = shingle_hashes(texts)
         sets = [np.unique(hashes[owner == i]).view(np.int64) for i in range(len(texts))] if texts else []
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in marks], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "signature", "bands", "shingles"])
 
 
-def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket whose signatures agree in 0.6 of their values or more."""
+def _candidates(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of one bucket whose signatures agree in `least` of their values or more."""
     for batch in batches:
         a, b = [], []
         for members in batch.column(0).to_pylist():
             members = sorted({m["doc_id"]: m["signature"] for m in members}.items())
             marks = np.array([np.frombuffer(s, ">u2") for _, s in members])
             for i in range(len(members) - 1):
-                for j in np.flatnonzero((marks[i + 1 :] == marks[i]).mean(axis=1) >= 0.6).tolist():
+                for j in np.flatnonzero((marks[i + 1 :] == marks[i]).mean(axis=1) >= least).tolist():
                     a.append(members[i][0])
                     b.append(members[i + 1 + j][0])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -225,15 +233,17 @@ def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     Equal shingle sets are first reduced to their smallest doc_id, so copies never become pairs; shingle_classes names the
     representative of every document, and so the links within a class and of its other members. Signature
     bands are joined in Spark; a bucket above BUCKET members is cut into chunks that meet two at a time. Candidates are
-    verified on the shingle hashes. Texts without words link to nothing; rows with a null doc_id are left out.
+    verified on the shingle hashes. Below 0.8 the bands get shorter and the signatures may agree in less (0.2 below the
+    similarity), which makes more candidates; a similarity that no bands find raises. Texts without words link to nothing; rows with a null doc_id are left out.
     """
-    classes = cut(_classes(docs))
+    rows, least = _rows_of_bands(similarity), similarity - 0.2
+    classes = cut(_classes(docs, rows))
     banded = classes.select("doc_id", "signature", F.posexplode("bands").alias("band", "key"))
     sizes = cut(banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
     met = banded.join(sizes, ["band", "key"]).withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("int"))
     met = met.withColumn("c", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     lists = met.groupBy("band", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")).agg(F.collect_list(F.struct("doc_id", "signature")).alias("members"))
-    pairs = lists.select("members").mapInArrow(_candidates, "a long, b long").distinct()
+    pairs = lists.select("members").mapInArrow(lambda batches: _candidates(batches, least), "a long, b long").distinct()
     left, right = (classes.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"{x}_shingles")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
@@ -255,11 +265,11 @@ def _set_hash() -> Column:
     return F.sha2(F.col("shingles").cast("string"), 256)
 
 
-def _marked(docs: DataFrame) -> DataFrame:
+def _marked(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     narrow = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    return narrow.mapInArrow(_signed_batches, "doc_id long, signature binary, bands array<long>, shingles array<long>")
+    return narrow.mapInArrow(lambda batches: _signed_batches(batches, rows), "doc_id long, signature binary, bands array<long>, shingles array<long>")
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    kept = _marked(docs).where("size(shingles) > 0").groupBy(_set_hash().alias("sets")).agg(F.min_by(F.struct("doc_id", "signature", "bands", "shingles"), "doc_id").alias("x"))
+def _classes(docs: DataFrame, rows: int = ROWS) -> DataFrame:
+    kept = _marked(docs, rows).where("size(shingles) > 0").groupBy(_set_hash().alias("sets")).agg(F.min_by(F.struct("doc_id", "signature", "bands", "shingles"), "doc_id").alias("x"))
     return kept.select("sets", "x.*")

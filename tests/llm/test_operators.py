@@ -150,6 +150,21 @@ def test_minhash_classes_reach_every_document(spark):
     assert pairs == {(x, y) for x in range(1, 6) for y in range(x + 1, 6)} | {(7, 8)}
 
 
+def test_minhash_links_of_lower_similarity(spark):
+    rng = random.Random(6)
+    rows, expected = [], set()
+    for i in range(100):
+        words = [str(rng.randrange(10**6)) for _ in range(204)]
+        # 152 of 200 shingles shared and 48 replaced on one side: Jaccard 152 / 248, about 0.61
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(words[:156] + [str(rng.randrange(10**6)) for _ in range(48)]))]
+        expected.add((i, 1000 + i))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.a, r.b) for r in minhash.near_duplicate_links(df, 0.6).collect()} == expected
+    assert minhash._rows_of_bands(minhash.SIMILARITY) == minhash.ROWS
+    with pytest.raises(ValueError, match="do not find"):
+        minhash.near_duplicate_links(df, 0.01)
+
+
 def base_spans(text):
     out = []
     key = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
