@@ -42,11 +42,10 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of all texts, and each hash's text. A text of one to four words is one shingle; none of none.
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and each word's text.
 
-    A word's hash is its slice of a running polynomial, moved to the origin; equal word sequences get equal hashes
-    whatever white space stands between the words.
+    A word's hash is its slice of a running polynomial, moved to the origin.
     """
     data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
     first = np.cumsum([1, *(len(x) + 1 for x in texts)])
@@ -60,7 +59,17 @@ def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words = (run[ends] - run[starts]) * inverse[starts]
     words = (words ^ (words >> np.uint64(31))) * _MIX
     words ^= words >> np.uint64(29)
-    owner = np.searchsorted(first, starts, side="right") - 1
+    return words, np.searchsorted(first, starts, side="right") - 1
+
+
+def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, and each hash's text. A text of one to four words is one shingle; none of none.
+
+    Equal word sequences get equal hashes whatever white space stands between the words.
+    """
+    words, owner = word_hashes(texts)
+    if not len(words):
+        return words, owner
     count = np.bincount(owner, minlength=len(texts))
     n = len(words)
     padded = np.concatenate([words, np.zeros(SHINGLE, np.uint64)])

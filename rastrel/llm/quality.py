@@ -6,22 +6,27 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, fresh, join_counted, text_or_empty
+from .minhash import word_hashes
 
 #: Labelled rows that fit the document classifier, those of the smallest seeded hashes.
 SAMPLE = 20_000
 SEED = 8
 #: A document is kept if the probability that it is good reaches this.
 THRESHOLD = 0.5
+#: Bytes of texts whose words and byte runs are hashed at a time.
+PORTION = 1 << 19
 #: Words of a window in which distinct words are counted.
 WINDOW = 50
-#: A site's log odds move a document's by at most this.
-MOST_SHIFT = 1.0
 FEATURES = ("symbols", "capitals", "shouts", "digits", "word_length", "distinct", "least_distinct", "repeated_lines", "log_words", "short_text", "dull", "marks")
+#: Hashed evidence: cells, a power of two, for words and pairs of words, and for runs of GRAM bytes; WEIGHT scales their unit vectors.
+CELLS, GRAM, WEIGHT = 512, 4, 3.0
+_WORD_MIX = np.uint64(0xD6E8FEB86659FD93)
 _CAPITALS = bytes(set(range(256)) - set(range(65, 91)))
 _DIGITS = bytes(set(range(256)) - set(range(48, 58)))
 
@@ -44,27 +49,74 @@ def features(text: bytes) -> list[float]:
     ]
 
 
-def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = [features(x.as_py()) for x in batch.column(3)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "host", "path", "x"])
+def _unit(cells: np.ndarray) -> np.ndarray:
+    """Square roots of counts by row, scaled to length WEIGHT; empty rows stay 0."""
+    roots = np.sqrt(cells)
+    return WEIGHT * roots / np.maximum(np.sqrt(cells.sum(axis=1, keepdims=True)), 1.0)
+
+
+def hashed(texts: list[bytes]) -> np.ndarray:
+    """2 * CELLS numbers for each text: which words and pairs of words, and which runs of GRAM bytes it has, A-Z lower-cased."""
+    out = np.zeros((len(texts), 2, CELLS))
+    for first, part in _portions(texts):
+        low = [x.lower() for x in part]
+        words, owner = word_hashes(low)
+        if len(words):
+            pairs = words[:-1] * _WORD_MIX + words[1:]
+            same = owner[1:] == owner[:-1]
+            for values, of in ((words, owner), (pairs[same], owner[:-1][same])):
+                cell = ((values ^ (values >> np.uint64(29))) * _WORD_MIX >> np.uint64(40) & np.uint64(CELLS - 1)).astype(np.int64)
+                out[first : first + len(part), 0] += np.bincount(of * CELLS + cell, minlength=len(part) * CELLS).reshape(-1, CELLS)
+        data = np.frombuffer(b"".join(low), np.uint8).astype(np.uint32)
+        if len(data) >= GRAM:
+            runs = data[: len(data) - GRAM + 1].copy()
+            for i in range(1, GRAM):
+                runs = (runs << np.uint32(8)) | data[i : len(data) - GRAM + 1 + i]
+            sizes = np.array([len(x) for x in low])
+            of = np.repeat(np.arange(len(low)), sizes)
+            cell = ((runs * np.uint32(0x9E3779B1)) >> np.uint32(16) & np.uint32(CELLS - 1)) + (of[: len(runs)] * CELLS)
+            whole = of[: len(runs)] == of[GRAM - 1 :]
+            out[first : first + len(part), 1] += np.bincount(cell[whole], minlength=len(part) * CELLS).reshape(-1, CELLS)
+    return np.concatenate([_unit(out[:, 0]), _unit(out[:, 1])], axis=1)
+
+
+def _portions(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in order, some PORTION bytes at a time, or one text if it is longer."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= PORTION):
+            size += len(texts[to])
+            to += 1
+        yield at, texts[at:to]
+        at = to
+
+
+def vectors(texts: list[bytes]) -> np.ndarray:
+    """FEATURES, then hashed evidence, a row for each UTF-8 text."""
+    return np.concatenate([np.array([features(x) for x in texts]).reshape(-1, len(FEATURES)), hashed(texts)], axis=1)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, path, x): a document's site is its source, its path its language there; null is a site of its own."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("lang").cast("string").alias("path"), text_or_empty().cast("binary").alias("text"))
-    return narrow.mapInArrow(_measured, "doc_id long, host string, path string, x array<double>")
+def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            x = vectors([t.as_py() for t in part.column(2)]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, penalty: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a penalised logistic regression on raw features, by Newton's method on scaled ones."""
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    """Weights and intercept of a penalised logistic regression by Newton's method; FEATURES are scaled, hashed evidence is as it is."""
+    n = len(FEATURES)
+    centre, scale = x.mean(axis=0), np.ones(x.shape[1])
+    scale[:n] = x[:, :n].std(axis=0) + 1e-9
     z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
-    ridge = np.diag([penalty] * x.shape[1] + [1e-6])
+    ridge = np.full(z.shape[1], penalty)
+    ridge[-1] = 1e-6
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -73,75 +125,81 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, penalty: float = 1.0) ->
 
 
 def _fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-    y = np.array([float(q > 0) for _, q in rows])
+    parts = [(np.asarray(b.column(0).values).reshape(b.num_rows, -1), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    x, y = (np.concatenate(c) for c in zip(*parts, strict=True))
     if 0 < y.sum() < len(y):
-        weights, bias = fit(np.array([x for x, _ in rows]), y)
+        weights, bias = fit(x.astype(np.float64), y)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tolist()], pa.list_(pa.float64())), pa.array([bias], pa.float64())], ["weights", "bias"])
 
 
-def evidence_model(marked: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[float], float]:
-    """Weights over FEATURES and intercept, fitted by one task on the labelled documents of the smallest seeded hashes.
+def evidence_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[float], float]:
+    """Weights over vectors and intercept, fitted by one task on the labelled documents of the smallest seeded hashes.
 
-    A document counts once. The driver gets the weights alone: rows above a hash that about 1.5 times the sample stay below
-    are dropped first, so no task sends or sorts more than a small multiple of the sample. Zeros without both classes.
+    Labels of doc_ids that documents lack don't count; a doc_id counts once, with its highest label and the text of the least hash. Only ids are
+    ranked and at most `sample` of them broadcast, so the texts of the sample alone move. Zeros without both classes.
     """
-    known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = known.join(marked.select("doc_id"), "doc_id", "left_semi").count()
-    mark = F.xxhash64(F.lit(SEED), "doc_id")
-    if n > 1.5 * sample:
-        known = known.where(mark < -(2**63) + int(2**64 * (1.5 * sample / n)))
-    once = marked.join(known, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("quality").alias("quality"))
-    chosen = once.orderBy(mark, "doc_id").limit(sample).select("x", F.col("quality").cast("double").alias("quality")).coalesce(1)
-    row = chosen.mapInArrow(_fitted, "weights array<double>, bias double").first()
-    return (row.weights, row.bias) if row else ([0.0] * len(FEATURES), 0.0)
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    chosen = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample)
+    chosen = cut(chosen.select("doc_id", (F.col("quality") > 0).cast("double").alias("quality")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "quality", "text")).alias("t")).select("doc_id", "t.quality", "t.text")
+    measured = once.mapInArrow(_measured, "doc_id long, quality double, x array<float>")
+    row = measured.repartition(1).select("x", "quality").mapInArrow(_fitted, "weights array<double>, bias double").first()
+    return (row.weights, row.bias) if row else ([0.0] * (len(FEATURES) + 2 * CELLS), 0.0)
+
+
+def evidence_of(text: str, weights: list[float], bias: float) -> Column:
+    """The log odds of a text column, from -12 to 12."""
+    w = np.array(weights)
+
+    @F.pandas_udf("double")
+    def odds(texts: pd.Series) -> pd.Series:
+        found = [vectors([(x or "").encode() for x in texts[at : at + 256]]) @ w + bias for at in range(0, len(texts), 256)]
+        return pd.Series(np.clip(np.concatenate(found), -12.0, 12.0) if found else np.zeros(0))
+
+    return odds(F.col(text))
 
 
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, evidence, site_prior, score, kept) of every row of documents(doc_id, text, lang, source).
+def _placed(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs with no_host, host, no_path, path under the given names: the site of a row is its source, its path its language there."""
+    source, lang = F.col("source").cast("string"), F.col("lang").cast("string")
+    return docs.withColumns(dict(zip(names, (source.isNull(), F.coalesce(source, F.lit("")), lang.isNull(), F.coalesce(lang, F.lit(""))), strict=True)))
 
-    evidence is the log odds of a logistic classifier over FEATURES, fitted by one task on at most `sample` documents of
-    labels(doc_id, quality), those of the smallest seeded hashes. Hosts (sources) and paths (languages within a host) then
-    get posteriors: a host's mean probability is shrunk toward the global prior, a path's toward its host's, each with a
-    strength estimated from how much the sites differ beyond chance. site_prior is the path's posterior, and score the
-    probability after the document's evidence is moved by the log odds of its site over the global ones. kept is
-    score >= THRESHOLD.
 
-    Null texts count as empty; null hosts and paths are sites of their own. Repeated rows each get a row. Without labels of
-    both classes the evidence is 0 and every row is kept. An empty table gives none. Other columns are not read.
-    Sites are summed with map-side combination; their table is joined on host and path.
+SITE = ["no_host", "host", "no_path", "path"]
+
+
+def site_posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
+    """(SITE, site_prior, n) of every site of rows(SITE, evidence), and the mean probability of all rows.
+
+    A host's mean probability is shrunk toward the mean of all, a path's toward its host's shrunk one, each by a number of
+    prior rows that the spread of the means beyond chance gives.
     """
-    marked = cut(measure(docs))
-    weights, bias = evidence_model(marked, labels, sample)
-    evidence = sum((F.col("x")[i] * F.lit(float(w)) for i, w in enumerate(weights)), F.lit(bias))
-    rows = marked.select("doc_id", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), F.coalesce("path", F.lit("")).alias("path"), F.col("path").isNull().alias("no_path"), F.greatest(F.lit(-12.0), F.least(F.lit(12.0), evidence)).alias("evidence"))
     p = 1 / (1 + F.exp(-F.col("evidence")))
-    host, path = ["no_host", "host"], ["no_host", "host", "no_path", "path"]
-    paths = cut(rows.groupBy(*path).agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("ss")))
+    paths = cut(rows.groupBy(*SITE).agg(F.count("*").alias("n"), F.sum(p).alias("s")))
     whole = paths.agg(F.sum("s") / F.sum("n")).first()[0]
     whole = min(max(whole if whole is not None else 0.5, 1e-4), 1 - 1e-4)
-    hosts = paths.groupBy(*host).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("ss").alias("hss"))
-    strength = _strength(hosts, "hn", "hs", whole)
+    hosts = cut(paths.groupBy(*SITE[:2]).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")))
+    strength = _strength(hosts, F.col("hn"), F.col("hs"), F.lit(whole), whole)
     hosts = hosts.withColumn("host_mean", (F.col("hs") + strength * whole) / (F.col("hn") + strength))
-    inner = _strength(paths, "n", "s", whole)
-    sites = paths.join(hosts, host).select(*path, ((F.col("s") + inner * F.col("host_mean")) / (F.col("n") + inner)).alias("site_prior"))
-    shift = _logit(F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("site_prior")))) - math.log(whole / (1 - whole))
-    moved = F.col("evidence") + F.greatest(F.lit(-MOST_SHIFT), F.least(F.lit(MOST_SHIFT), shift))
-    scored = rows.join(cut(sites), path).select("doc_id", "evidence", "site_prior", (1 / (1 + F.exp(-moved))).alias("score"))
-    return scored.withColumn("kept", F.col("score") >= THRESHOLD if any(weights) else F.lit(True))
+    inside = cut(paths.join(hosts, SITE[:2]).select(*SITE, "n", "s", "host_mean"))
+    inner = _strength(inside, F.col("n"), F.col("s"), F.col("host_mean"), whole)
+    return cut(inside.select(*SITE, ((F.col("s") + inner * F.col("host_mean")) / (F.col("n") + inner)).alias("site_prior"), "n")), whole
 
 
-def _strength(sites: DataFrame, n: str, s: str, whole: float) -> float:
-    """Prior rows that a site's mean is shrunk by: the method of moments for a beta distribution of site means.
+def _strength(sites: DataFrame, n: Column, s: Column, mean: Column, whole: float) -> float:
+    """Prior rows that a site's mean is shrunk by: the method of moments for a beta distribution of site means around `mean`.
 
     The variance of site means beyond what sites of their sizes show by chance gives the strength; between 2 and 10,000.
     """
-    mean = F.col(s) / F.col(n)
-    row = sites.agg(F.sum(F.col(n) * (mean - whole) ** 2), F.sum(n), F.count("*")).first()
+    row = sites.agg(F.sum(n * (s / n - mean) ** 2), F.sum(n), F.count("*")).first()
     if not row[1] or row[2] < 2:
         return 10_000.0
     within = whole * (1 - whole)
@@ -149,8 +207,45 @@ def _strength(sites: DataFrame, n: str, s: str, whole: float) -> float:
     return min(10_000.0, max(2.0, within / between - 1)) if between > 0 else 10_000.0
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents without those whose score is below THRESHOLD; all columns stay."""
-    verdicts = score(docs, labels).groupBy("doc_id").agg(F.max("kept").alias("__kept"))
-    gone = verdicts.where("not __kept and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def _probability(evidence: str, prior: str, whole: float) -> Column:
+    """The probability after a document's evidence is moved by the log odds of its site over those of all."""
+    shift = _logit(F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col(prior)))) - math.log(whole / (1 - whole))
+    return 1 / (1 + F.exp(-(F.col(evidence) + shift)))
+
+
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, evidence, site_prior, score, kept) of every row of documents(doc_id, text, lang, source).
+
+    evidence is the log odds of a logistic classifier over FEATURES and hashed words, word pairs and byte runs, fitted by one
+    task on at most `sample` documents of labels(doc_id, quality), those of the smallest seeded hashes. Hosts (sources) and paths (languages
+    within a host) then get posteriors by site_posteriors; site_prior is the path's, and score the probability after the document's evidence
+    is moved by the log odds of its site over those of all. kept is score >= THRESHOLD.
+
+    Null texts count as empty; null hosts and paths are sites of their own. Repeated rows each get a row. Without labels of
+    both classes the evidence is 0 and every row is kept. An empty table gives none. Other columns are not read.
+    Sites are summed with map-side combination; their table is broadcast where it is small, else only its hot sites are.
+    """
+    weights, bias = evidence_model(docs, labels, sample)
+    rows = cut(_placed(docs.select("doc_id", "text", "source", "lang"), SITE).select(F.col("doc_id").cast("long").alias("doc_id"), *SITE, evidence_of("text", weights, bias).alias("evidence")))
+    sites, whole = site_posteriors(rows)
+    scored = join_counted(rows, sites, SITE, "n").select("doc_id", "evidence", "site_prior", _probability("evidence", "site_prior", whole).alias("score"))
+    return scored.withColumn("kept", F.col("score") >= THRESHOLD if any(weights) else F.lit(True))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """documents without the rows whose score is below THRESHOLD; all columns stay, whatever their names.
+
+    Every row is judged by its own text, source and language, so neither rows that share its doc_id nor a null doc_id change its verdict, and
+    repeated rows all stay or all go. Null and empty texts are judged like any other; null sources and languages are sites of their own.
+    Without labels of both classes all rows stay; an empty table gives an empty one. Texts are measured a second time rather than
+    shuffled: nothing but counts of sites moves.
+    """
+    weights, bias = evidence_model(docs, labels, sample)
+    if not any(weights):
+        return docs
+    names = fresh(docs, *SITE, "evidence", "site_prior", "n")
+    rows = _placed(docs, names[:4]).withColumn(names[4], evidence_of("text", weights, bias))
+    sites, whole = site_posteriors(rows.select(*(F.col(x).alias(y) for x, y in zip(names[:5], [*SITE, "evidence"], strict=True))))
+    renamed = sites.select(*(F.col(x).alias(y) for x, y in zip([*SITE, "site_prior", "n"], [*names[:4], *names[5:]], strict=True)))
+    placed = join_counted(rows, renamed, names[:4], names[6])
+    return placed.where(_probability(names[4], names[5], whole) >= THRESHOLD).select(*docs.columns)

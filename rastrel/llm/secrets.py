@@ -85,6 +85,18 @@ def _values(text: str, start: int, end: int, words: list[tuple[int, int]]) -> li
     return [*out, (at, end)]
 
 
+def _merged(taken: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, both ascending."""
+    starts, ends = [], []
+    for a, b, _ in sorted(taken):
+        if starts and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Strings in reach of a sensitive word that hardly compress given code identifiers and their surroundings.
 
@@ -95,11 +107,14 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     """
     words = [m.span() for m in _SENSITIVE.finditer(text)]
     starts, ends = [a for a, _ in words], [b for _, b in words]
+    taken_starts, taken_ends = _merged(taken)
 
     def novel(start: int, end: int) -> bool:
         first, last = bisect.bisect_left(ends, start - REACH), bisect.bisect_right(starts, end + REACH) - 1
         # a word within the candidate does not count
-        if end - start < SHORTEST or first > last or starts[first] >= start and ends[last] <= end or any(a < end and start < b for a, b, _ in taken):
+        if end - start < SHORTEST or first > last or starts[first] >= start and ends[last] <= end:
+            return False
+        if bisect.bisect_right(taken_ends, start) < bisect.bisect_left(taken_starts, end):
             return False
         one = text[start:end]
         if not any(c.isdigit() for c in one) and (one.islower() or one.isupper() or one.istitle()):
@@ -180,5 +195,9 @@ def _redacting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """documents with every span of its texts replaced by its kind in angle brackets; all other columns stay."""
+    """documents with every span of its texts replaced by its kind in angle brackets; all other columns stay, whatever their names.
+
+    Each row is judged alone, so repeated rows and rows with one doc_id get what their own texts give. Null and empty texts
+    stay as they are; doc_id is not read. An empty table gives an empty one. Texts of any length are taken whole.
+    """
     return docs.mapInArrow(_redacting, docs.schema)

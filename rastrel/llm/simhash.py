@@ -6,14 +6,14 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh, join_counted, text_or_empty
 from .components import connected_components
+from .minhash import shingle_hashes
 
 SEED = 42
 SHINGLE = 3
@@ -25,8 +25,11 @@ STRIDE = 65_536
 BLOCKS = 6
 #: Reference fingerprints of the distance tables.
 PIVOTS = 24
-#: Members of one bucket that a task compares at once; larger buckets are dealt out as pairs of chunks.
+#: Members of one bucket that a task compares at once; larger buckets are cut by cells of pivot distances.
 BUCKET = 4096
+#: Fingerprints farther than RADIUS and up to WIDE bits apart link if 5-word shingles of their texts are as similar as this.
+#: They meet under masks of WIDE_AGREE of WIDE_BLOCKS runs, which show all pairs up to 5 bits and most beyond.
+WIDE, SIMILARITY, WIDE_BLOCKS, WIDE_AGREE = 9, 0.8, 8, 3
 
 
 def fingerprint(text: bytes) -> int:
@@ -45,21 +48,18 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
+        marks = np.fromiter((fingerprint(x.as_py()) for x in batch.column(2)), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks.view(np.int64))], ["doc_id", "h", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of documents(doc_id, text); fp holds the 64 bits as a signed long. A null text counts as empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
-
+def _identity(docs: DataFrame) -> list[Column]:
+    """doc_id and the hash of the text, which tell rows apart that differ in either."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("h")]
 
-def _fingerprint_of(text: str) -> Column:
-    @F.pandas_udf("long")
-    def mark(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((fingerprint((x or "").encode()) for x in texts), np.uint64, len(texts)).view(np.int64))
 
-    return mark(F.col(text))
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, fp) of documents(doc_id, text); h is the text's hash, fp holds the 64 bits as a signed long. A null text counts as empty."""
+    return docs.select(*_identity(docs), text_or_empty().cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, h long, fp long")
 
 
 def pivots() -> np.ndarray:
@@ -67,31 +67,56 @@ def pivots() -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.random.default_rng(SEED).integers(0, 2**64, PIVOTS - 1, np.uint64)])
 
 
-def _masks() -> list[int]:
-    """One mask for each choice of BLOCKS - RADIUS runs; some mask shows equal bits in any two linked fingerprints."""
-    edge = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
+def distances(marks: np.ndarray) -> np.ndarray:
+    """The distance table of fingerprints: a row each, a column for each pivot."""
+    return np.bitwise_count(marks[:, None] ^ pivots()[None, :]).astype(np.int8)
+
+
+def survivors(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs of rows of two distance tables no column tells apart by more than the radius."""
+    return np.abs(a - b).max(axis=1) <= radius
+
+
+def _masks(blocks: int, agree: int) -> list[int]:
+    """One mask for each choice of `agree` of the runs that the 64 bits are cut into."""
+    edge = [round(i * 64 / blocks) for i in range(blocks + 1)]
     runs = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edge, edge[1:], strict=False)]
-    return [sum(x) for x in combinations(runs, BLOCKS - RADIUS)]
+    return [sum(x) for x in combinations(runs, agree)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def spanning_links(members: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links between members (unsigned longs) that join all that the radius joins among them, one fewer than members at most.
+def near_pairs(members: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each place in members (unsigned longs, sorted by distance to the first pivot by this function) with those after it within the radius.
 
     The table holds each member's distances to the pivots. By the triangle inequality no two linked members differ by
     more than the radius in any column: members are sorted by the first column, each meets only those within the
     radius there, pairs with a larger difference in another column go, and the bits of the rest are compared.
     """
-    members = np.unique(members)
-    if len(members) < 2:
-        return []
-    table = np.bitwise_count(members[:, None] ^ pivots()[None, :]).astype(np.int8)
-    order = np.argsort(table[:, 0], kind="stable")
-    members, table = members[order], table[order]
+    table = distances(members)
     until = np.searchsorted(table[:, 0], table[:, 0] + radius, side="right")
+    for i in range(len(members) - 1):
+        near = np.arange(i + 1, until[i])
+        for columns in (slice(1, 5), slice(5, PIVOTS)):
+            if len(near):
+                near = near[survivors(table[near, columns], table[i : i + 1, columns], radius)]
+        if len(near):
+            near = near[np.bitwise_count(members[near] ^ members[i]) <= radius]
+        if len(near):
+            yield i, near
+
+
+def in_pivot_order(members: np.ndarray) -> np.ndarray:
+    """Distinct members by their distance to the first pivot."""
+    members = np.unique(members)
+    return members[np.argsort(np.bitwise_count(members ^ pivots()[0]), kind="stable")]
+
+
+def spanning_links(members: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links between members (unsigned longs) that join all that the radius joins among them, one fewer than members at most."""
+    members = in_pivot_order(members)
     parent, links = list(range(len(members))), []
 
     def top(i: int) -> int:
@@ -99,13 +124,7 @@ def spanning_links(members: np.ndarray, radius: int = RADIUS) -> list[tuple[int,
             parent[i] = i = parent[parent[i]]
         return i
 
-    for i in range(len(members) - 1):
-        near = np.arange(i + 1, until[i])
-        for columns in (slice(1, 5), slice(5, PIVOTS)):
-            if len(near):
-                near = near[np.abs(table[near, columns] - table[i, columns]).max(axis=1) <= radius]
-        if len(near):
-            near = near[np.bitwise_count(members[near] ^ members[i]) <= radius]
+    for i, near in near_pairs(members, radius):
         for j in near.tolist():
             a, b = top(i), top(j)
             if a != b:
@@ -114,33 +133,87 @@ def spanning_links(members: np.ndarray, radius: int = RADIUS) -> list[tuple[int,
     return links
 
 
-def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _of_two(members: np.ndarray, radius: int) -> np.ndarray:
+    """The rows of pairs of fingerprints that the distance table leaves and the bits confirm."""
+    stay = members[survivors(distances(members[:, 0]), distances(members[:, 1]), radius)]
+    return stay[np.bitwise_count(stay[:, 0] ^ stay[:, 1]) <= radius]
+
+
+def _met(batches: Iterable[pa.RecordBatch], radius: int, larger) -> Iterator[pa.RecordBatch]:
+    """Links of buckets of two, all at once, and of larger ones by `larger`, from a column of members."""
     for batch in batches:
-        found = []
-        for row in batch.column(0):
-            members = np.asarray(row.values).view(np.uint64)
-            if len(members) != 2:
-                found += spanning_links(members)
-            elif int(members[0] ^ members[1]).bit_count() <= RADIUS:
-                found.append((int(members[0]), int(members[1])))
-        ends = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+        column = batch.column(0)
+        starts, values = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy().view(np.uint64)
+        sizes = np.diff(starts)
+        two = starts[:-1][sizes == 2]
+        found = [_of_two(np.stack([values[two], values[two + 1]], axis=1), radius)]
+        for at, size in zip(starts[:-1][sizes > 2], sizes[sizes > 2], strict=True):
+            found.append(np.array(larger(values[at : at + size], radius), np.uint64).reshape(-1, 2))
+        ends = np.concatenate(found)
+        ends = np.sort(ends, axis=1).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links between the fingerprints of distinct(fp) that connect exactly what Hamming distance RADIUS connects.
+def _all_pairs(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    members = in_pivot_order(members)
+    return [(int(members[i]), int(members[j])) for i, near in near_pairs(members, radius) for j in near.tolist()]
+
+
+def _buckets(distinct: DataFrame, radius: int, blocks: int, agree: int) -> DataFrame:
+    """members, the lists of fingerprints of distinct(fp) that meet: under one mask, and in a large bucket in a cell of pivot distances too.
 
-    Every fingerprint goes to one bucket for each mask, under its masked bits; any two within the radius meet in at
-    least one. Buckets of one are dropped; a bucket of more than BUCKET members is cut into chunks by a hash and each
-    two chunks meet in a task of their own, so no task holds an unbounded bucket and none is capped. Only a spanning
-    forest of a bucket's links leaves the task, never all pairs.
+    A bucket of more than BUCKET members is cut into cells one wider than the radius over the distances to two pivots; no
+    linked pair lies more than one cell apart in either, so each member stands in its own cell and the next ones, and
+    any two that may link meet in a cell. Cells of a bucket that is larger still are cut into chunks by a hash, each
+    two of which meet, so no task holds an unbounded bucket and none is capped.
     """
-    keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(_masks())))).alias("x")).select("fp", "x.t", "x.key")
+    masks = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(_masks(blocks, agree))))
+    keyed = distinct.select("fp", F.explode(masks).alias("x")).select("fp", "x.t", "x.key")
     sizes = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    met = keyed.join(sizes, ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("int"))
+    met = keyed.join(sizes, ["t", "key"])
+    far = [F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(p))))) / (radius + 1)).cast("int") for p in pivots()[1:3]]
+    cells = F.array(*(F.struct((far[0] + x).alias("x"), (far[1] + y).alias("y")) for x in (0, 1) for y in (0, 1)))
+    met = met.withColumn("cell", F.explode(F.when(F.col("n") > BUCKET, cells).otherwise(F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))))))
+    met = met.withColumn("chunks", F.ceil(F.col("n") / (8 * BUCKET)).cast("int"))
     met = met.withColumn("c", F.pmod(F.xxhash64("fp"), "chunks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    lists = met.groupBy("t", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")).agg(F.collect_list("fp").alias("members"))
-    return lists.where("size(members) > 1").select("members").mapInArrow(_links, "a long, b long").distinct()
+    lists = met.groupBy("t", "key", "cell", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")).agg(F.collect_list("fp").alias("members"))
+    return lists.where("size(members) > 1").select("members")
+
+
+def fingerprint_links(distinct: DataFrame) -> DataFrame:
+    """(a, b): links between the fingerprints of distinct(fp) that connect exactly what Hamming distance RADIUS connects.
+
+    Every fingerprint goes to one bucket for each mask of BLOCKS - RADIUS of BLOCKS runs, under its masked bits; any two
+    within the radius meet in at least one, where the table of their pivot distances discards pairs and the bits of the rest are
+    compared. Only a spanning forest of a bucket's links leaves the task, never all pairs.
+    """
+    return _buckets(distinct, RADIUS, BLOCKS, BLOCKS - RADIUS).mapInArrow(lambda x: _met(x, RADIUS, spanning_links), "a long, b long").distinct()
+
+
+def wide_links(docs: DataFrame, firsts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): fingerprints of firsts(fp, first, h) more than RADIUS and up to WIDE bits apart whose texts are similar enough.
+
+    first and h name the text that stands for a fingerprint, a row of documents; the similarity is the Jaccard similarity of
+    5-word shingles. Pairs that no mask shows are missed: none up to 5 bits, about a fifth at 7, half at 9.
+    """
+    found = _buckets(firsts.where("first is not null").select("fp"), WIDE, WIDE_BLOCKS, WIDE_AGREE).mapInArrow(lambda x: _met(x, WIDE, _all_pairs), "a long, b long").distinct()
+    found = cut(found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > RADIUS))
+    ends = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
+    named = firsts.join(ends, "fp").select("fp", F.col("first").alias("doc_id"), "h")
+    texts = docs.select(*_identity(docs), text_or_empty().cast("binary").alias("text")).join(named, ["doc_id", "h"]).groupBy("fp").agg(F.min("text").alias("text"))
+    texts = cut(texts)
+    left, right = (texts.select(F.col("fp").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
+    return found.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(lambda x: _similar(x, similarity), "a long, b long")
+
+
+def _similar(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            a, b = (np.unique(shingle_hashes([x.as_py()])[0]) for x in (a, b))
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(shared >= least * max(1, len(a) + len(b) - shared))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -154,16 +227,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _rooted(docs).select("doc_id", "fp", "component_id")
 
 
-def _rooted(docs: DataFrame) -> DataFrame:
-    """near_duplicates with root, which tells components apart whose smallest doc_id is the same."""
+def _rooted(docs: DataFrame, wide: bool = False) -> DataFrame:
+    """near_duplicates with h, the text's hash, and root, which tells components apart whose smallest doc_id is the same.
+
+    With wide, wide_links join components too.
+    """
     marked = cut(fingerprints(docs))
-    firsts = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(fingerprint_links(firsts.select("fp")))
-    named = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = cut(named)
+    firsts = cut(marked.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("x"), F.count("*").alias("n")).select("fp", F.col("x.doc_id").alias("first"), F.col("x.h").alias("h"), "n"))
+    links = fingerprint_links(firsts.select("fp"))
+    roots = connected_components(links.union(wide_links(docs, firsts)) if wide else links)
+    named = cut(firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = cut(named.join(least, "root").select("fp", "component_id", "root"))
-    return marked.join(names, "fp").select("doc_id", "fp", "component_id", "root")
+    names = cut(named.join(least, "root").select("fp", "component_id", "root", "n"))
+    return join_counted(marked, names, ["fp"], "n")
 
 
 def fingerprint_hex(fp: str = "fp"):
@@ -171,21 +247,28 @@ def fingerprint_hex(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """documents with one row of each component: its smallest (doc_id, fp)'s. Rows without a doc_id stay; all columns stay.
+def one_of_each(docs: DataFrame, wide: bool = False) -> DataFrame:
+    """documents with one row of each component: that of the smallest (doc_id, fingerprint, text hash); all columns stay, whatever their names.
 
-    Of several rows with that doc_id and fp the first by a hash of text and by text stays, in any order if these are equal
-    too. Only doc_ids that repeat and survive somewhere are fingerprinted again, to be told apart.
+    Components are those of near_duplicates, and with wide wide_links join them too. Rows are told apart by doc_id and
+    text, so a doc_id that repeats with other texts loses only those that have a smaller near copy. Of rows equal in both, one stays: the
+    first by a hash of the other columns. Rows without a doc_id all stay and remove nothing. Null and empty texts, and all
+    texts without words, are one component. An empty table gives an empty one.
     """
-    found = cut(_rooted(docs))
-    stay = cut(found.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select("x.*"))
-    again = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").join(stay, "doc_id", "left_semi"))
-    kept = docs.join(stay.select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
-    if again.limit(1).count():
-        twice = again.select(F.col("doc_id").alias("__kept"))
-        marked = kept.join(twice, F.col("doc_id") == F.col("__kept"), "left_semi").withColumn("__fp", _fingerprint_of("text"))
-        marked = marked.join(stay.select(F.col("doc_id").alias("__kept"), F.col("fp").alias("__mark")), (F.col("doc_id") == F.col("__kept")) & (F.col("__fp") == F.col("__mark")), "left_semi")
-        order = Window.partitionBy("doc_id", "__fp").orderBy(F.xxhash64("text"), "text")
-        marked = marked.withColumn("__place", F.row_number().over(order)).where("__place = 1").select(*docs.columns)
-        kept = kept.join(twice, F.col("doc_id") == F.col("__kept"), "left_anti").union(marked)
-    return kept.union(docs.where("doc_id is null"))
+    found = cut(_rooted(docs, wide))
+    known = found.where("doc_id is not null")
+    best = known.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "h")).alias("x")).select("x.doc_id", "x.h")
+    stay = cut(known.join(best, ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.count("*").alias("n")))
+    i, h, k_i, k_h, place = fresh(docs, "id__", "hash__", "stay_id__", "stay_hash__", "place__")
+    rows = docs.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64(text_or_empty())})
+
+    def those(condition: str) -> DataFrame:
+        named = stay.where(condition).select(F.col("doc_id").alias(k_i), F.col("h").alias(k_h))
+        return rows.join(named, (F.col(i) == F.col(k_i)) & (F.col(h) == F.col(k_h)), "left_semi")
+
+    kept = those("n = 1").select(*docs.columns).union(docs.where("doc_id is null"))
+    if stay.where("n > 1").limit(1).count():
+        others = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+        order = Window.partitionBy(i, h).orderBy(F.xxhash64(*others))
+        kept = kept.union(those("n > 1").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns))
+    return kept
