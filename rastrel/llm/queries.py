@@ -74,6 +74,11 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(documents(spark, sf_dir)).select(*(F.col(x) for x in names))
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of the current policy: rows that fail it, that fail it alone, and that are kept without it."""
+    return rules.ablations(rules.ledger(documents(spark, sf_dir))).drop("seen")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and place of every document."""
     return sharding.interleave(documents(spark, sf_dir))
@@ -81,7 +86,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this subpackage."""
-    return {f.__name__: f for f in (op1_simhash, op2_minhash, op3_secrets, op4_suffixes, op5_token_counts, op6_mixing, op7_byte_bpe, op8_quality, op9_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_minhash, op3_secrets, op4_suffixes, op5_token_counts, op6_mixing, op7_byte_bpe, op8_quality, op9_rules, op10_sharding, rule_ablations)}
 
 
 def _rules_sql() -> str:
@@ -106,6 +111,17 @@ def _rules_sql() -> str:
     """
 
 
+def _ablations_sql() -> str:
+    mask = rules.POLICIES[rules.POLICY]
+    listed = ", ".join(f"('{name}', {bit})" for name, bit in rules.BITS.items() if bit & mask)
+    return f"""
+    WITH f AS ({_rules_sql()}), r AS (SELECT * FROM (VALUES {listed}) t(rule, bit))
+    SELECT rule, CAST(bit AS INTEGER) AS bit, count(*) FILTER (WHERE failures & bit <> 0) AS n_failed,
+           count(*) FILTER (WHERE failures & {mask} = bit) AS n_failed_alone, count(*) FILTER (WHERE failures & {mask} IN (0, bit)) AS n_kept_without
+    FROM f CROSS JOIN r GROUP BY rule, bit
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op9_rules": _rules_sql()}
+    return {"op9_rules": _rules_sql(), "rule_ablations": _ablations_sql()}

@@ -23,15 +23,31 @@ POLICY = "v2"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals")
 
 
+#: The hash of the 3-word window that starts at word x, the i-th of w.
+WINDOW_HASH = "xxhash64(x, w[i + 1], w[i + 2])"
+
+
+def _covered(places: str) -> str:
+    """Words that 3-word windows at the given places, ascending, cover: 3 each, less where the next one starts earlier."""
+    return f"aggregate(transform(array({places}), p -> aggregate(transform(p, (x, i) -> least(3L, coalesce(get(p, i + 1) - x, 3L))), 0L, (a, x) -> a + x)), 0L, (a, x) -> a + x)"
+
+
 def _repeat_words(s: str, bits: str) -> Column:
     """Words in 3-word windows that occur twice or more, from s, the sorted longs of each window's hash and place.
 
-    The low `bits` bits of a long are the place. Windows that share their hash with a neighbour in order are repeated; their
-    places, sorted, cover 3 words each, less where the next repeated window starts earlier.
+    The low `bits` bits of a long are the place. Windows that share their hash with a neighbour in order are repeated if all such
+    neighbours are the same three words, which is checked; a text where some differ has its windows sorted by their words.
     """
-    again = f"filter({s}, (x, i) -> coalesce(shiftright(get({s}, i - 1), {bits}) = shiftright(x, {bits}), false) or coalesce(shiftright(get({s}, i + 1), {bits}) = shiftright(x, {bits}), false))"
-    places = f"sort_array(transform({again}, x -> x & (shiftleft(1L, {bits}) - 1)))"
-    return F.expr(f"aggregate(transform(array({places}), p -> aggregate(transform(p, (x, i) -> least(3L, coalesce(get(p, i + 1) - x, 3L))), 0L, (a, x) -> a + x)), 0L, (a, x) -> a + x)")
+    place = lambda x: f"cast({x} & (shiftleft(1L, {bits}) - 1) as int)"
+    alike = lambda x, y: f"coalesce(shiftright({x}, {bits}) = shiftright({y}, {bits}), false)"
+    after, before = f"get({s}, i + 1)", f"get({s}, i - 1)"
+    differ = " or ".join(f"w[{place('x')} + {k}] <> w[{place(after)} + {k}]" for k in range(3))
+    clash = f"exists(transform({s}, (x, i) -> {alike(after, 'x')} and ({differ})), x -> x)"
+    fast = f"sort_array(transform(filter({s}, (x, i) -> {alike(before, 'x')} or {alike(after, 'x')}), x -> cast({place('x')} as bigint)))"
+    rows = "array_sort(transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> struct(concat_ws(' ', x, w[i + 1], w[i + 2]) as t, cast(i as bigint) as at)))"
+    again = "filter(r, (x, i) -> coalesce(get(r, i - 1).t = x.t, false) or coalesce(get(r, i + 1).t = x.t, false))"
+    exact = f"sort_array(flatten(transform(array({rows}), r -> transform({again}, x -> x.at))))"
+    return F.expr(f"case when {clash} then {_covered(exact)} else {_covered(fast)} end")
 
 
 def _once(df: DataFrame, kept: list[str], **made: Column) -> DataFrame:
@@ -64,8 +80,8 @@ def measure(docs: DataFrame) -> DataFrame:
         bits=F.greatest(F.lit(1), F.length(F.bin(F.size("w").cast("long")))),
     )
     counted = [c for c in sized.columns if c != "w"]
-    hashes = "transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> (shiftleft(xxhash64(x, w[i + 1], w[i + 2]), coalesce(bits, 1)) | cast(i as bigint)))"
-    sorted_ = _once(sized, counted, s=F.expr(f"sort_array({hashes})"))
+    hashes = f"transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> (shiftleft({WINDOW_HASH}, coalesce(bits, 1)) | cast(i as bigint)))"
+    sorted_ = _once(sized, [*counted, "w"], s=F.expr(f"sort_array({hashes})"))
     return _once(sorted_, [c for c in counted if c != "bits"], n_repeat_words=_repeat_words("s", "bits"))
 
 
@@ -74,7 +90,7 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty: no words, no lines. Repeated rows each get a row; an empty table gives none; other columns
     are not read. Nothing is shuffled, and a row's work grows with its own text alone (n log n for the windows, which are
-    told apart by their 64-bit hashes less the bits of a place).
+    sorted by hashes and compared by their words).
     """
     failures = F.lit(0)
     for name, rule in RULES.items():

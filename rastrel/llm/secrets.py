@@ -23,12 +23,14 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEYWORDS = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
 #: Words that make their surroundings sensitive, and what may be a secret there.
-_SENSITIVE = re.compile(r"passw|passphrase|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|bearer|authorization|connection[_-]?string|signature", re.IGNORECASE | re.ASCII)
+_SENSITIVE = re.compile(r"passw|passphrase|secret|token|(?:api|private|access)[ _-]?key|credential|bearer|authorization|connection[ _-]?string|signature", re.IGNORECASE | re.ASCII)
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 #: A value or key of a run: '=' belongs to it only as padding at the run's end.
 _PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
 #: What of a key follows its sensitive word, to the separator that ends the key.
 _KEY_END = re.compile(r"(?i:ords?|ds?|s)?(?i:[_-](?:keys?|ids?|value))*(?:[_-]|\Z)")
+#: A part of a name in camel case; strings without digits whose parts are four letters long on average are names.
+_NAME_PART = re.compile(r"[A-Z][a-z]*|[a-z]+")
 #: Code points of a candidate at least, and of the pieces in which the novelty of a longer one is measured.
 SHORTEST, PIECE = 16, 512
 #: Code points before and after a candidate that count as its surroundings, and on either side of a sensitive word.
@@ -102,8 +104,8 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
 
     In a run like KEY=VALUE or KEY_VALUE the value is judged; where no value is reported, the whole part between '=' is,
     and the whole run if all its parts are too short. Candidates may be of any length; one above PIECE is reported whole when one of its pieces is
-    novel. Spans that overlap a base span, words without digits all of one case or capitalized (as in names
-    joined by '_' or '-'), and what the compressor knows are left out.
+    novel. Spans that overlap a base span, strings without digits all in capitals or whose parts by capitals, '_' and '-' are as long as
+    those of names, and what the compressor knows are left out.
     """
     words = [m.span() for m in _SENSITIVE.finditer(text)]
     starts, ends = [a for a, _ in words], [b for _, b in words]
@@ -117,7 +119,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
         if bisect.bisect_right(taken_ends, start) < bisect.bisect_left(taken_starts, end):
             return False
         one = text[start:end]
-        if not any(c.isdigit() for c in one) and (one.islower() or one.isupper() or one.istitle()):
+        if not any(c.isdigit() for c in one) and (one.isupper() or len(one) >= 4 * len(_NAME_PART.findall(one))):
             return False
         around = _surroundings(text, start, end)
         size = -(-len(one) // -(-len(one) // PIECE))

@@ -10,8 +10,14 @@ from .common import cut, text_or_empty
 
 SEED = 77
 SHARDS = 8
-#: Cells of a source's seeded order, and of the order of all rows; each is ranked by itself.
-SOURCE_CELLS_BITS, CELLS = 12, 4096
+#: Cells of a source's seeded order, and of the order of all rows, as a power of two; each is ranked by itself. There are enough for
+#: cells of CELL_ROWS rows, and 2**LEAST_BITS at least.
+LEAST_BITS, CELL_ROWS = 12, 250_000
+
+
+def cell_bits(rows: int) -> int:
+    """Bits of the number of cells for so many rows."""
+    return max(LEAST_BITS, (rows // CELL_ROWS).bit_length())
 
 
 def _ranked(rows: DataFrame, keys: list[str], cell: str, order: list[str]) -> DataFrame:
@@ -50,12 +56,13 @@ def interleave(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             F.col("source").isNull().alias("no_source"),
             F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
             mark.alias("mark"),
-            F.shiftright(mark, 64 - SOURCE_CELLS_BITS).cast("int").alias("cell"),
         )
     )
+    bits = cell_bits(rows.count())
+    rows = rows.withColumn("cell", F.shiftright("mark", 64 - bits).cast("int"))
     ranked = _ranked(rows, ["no_source", "source"], "cell", ["mark", "doc_id", "text_crc32", "size"])
     share = (F.col("rank") - 0.5) / F.col("total")
-    ranked = ranked.select("doc_id", "size", "text_crc32", "no_source", "source", "mark", share.alias("share"), F.lit(1).alias("one"), F.floor(share * CELLS).cast("int").alias("cell"))
+    ranked = ranked.select("doc_id", "size", "text_crc32", "no_source", "source", "mark", share.alias("share"), F.lit(1).alias("one"), F.floor(share * (1 << bits)).cast("int").alias("cell"))
     ranked = _ranked(cut(ranked), ["one"], "cell", ["share", "no_source", "source", "mark", "doc_id", "text_crc32", "size"])
     place, total = F.col("rank") - 1, F.col("total")
     shard = F.expr(f"(rank - 1) * {shards} div total")

@@ -22,8 +22,12 @@ SPAN = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
 #: Documents that share a gram from which its anchor is replaced by all the strings of LENGTH bytes around it.
 HOT = 100_000
-#: Bytes of a chunk of documents, of a bucket's share of the text, and of what is hashed at a time.
+#: Bytes of a chunk of documents, of a bucket's share of the text, and of what is hashed at a time; chunks and buckets grow with
+#: the square root of the text, up to MOST_CHUNK and MOST_BUCKET, beyond LARGE bytes.
 CHUNK_BYTES, BUCKET_BYTES, STRIDE = 4 << 20, 64 << 20, 1 << 18
+LARGE, MOST_CHUNK, MOST_BUCKET = 1 << 37, 64 << 20, 512 << 20
+#: Bytes on either side of a piece of a long text that decide its anchors and what stands around them.
+MARGIN = 2 * LENGTH
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _B = 0x2545F4914F6CDD1D
@@ -75,18 +79,45 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, full[at] & np.uint64(2**48 - 1)
 
 
-def _batches(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Texts put together up to STRIDE bytes: the first one's number, the bytes, and where each text ends."""
+def _batches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Portions of up to about STRIDE bytes: the bytes, where each text or piece in them ends, its text's number, and where it starts there.
+
+    A text above STRIDE bytes comes in pieces, which overlap by twice the MARGIN.
+    """
     at = 0
     while at < len(texts):
+        if len(texts[at]) > STRIDE:
+            for start in range(0, len(texts[at]), STRIDE):
+                lo, hi = max(0, start - MARGIN), min(len(texts[at]), start + STRIDE + MARGIN)
+                yield np.frombuffer(texts[at], np.uint8, hi - lo, lo), np.array([hi - lo]), np.array([at]), np.array([lo])
+            at += 1
+            continue
         to, size = at, 0
         while to < len(texts) and (to == at or size + len(texts[to]) <= STRIDE):
             size += len(texts[to])
             to += 1
-        yield at, np.frombuffer(b"".join(texts[at:to]), np.uint8), np.cumsum([len(x) for x in texts[at:to]])
+        yield np.frombuffer(b"".join(texts[at:to]), np.uint8), np.cumsum([len(x) for x in texts[at:to]]), np.arange(at, to), np.zeros(to - at, np.int64)
         at = to
 
 
+def _anchored(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each portion its bytes and, of its anchors: the place in it, the gram's hash, the text's number, the place in the text.
+
+    A piece gives the anchors of its core alone, which its margins make the same as in the whole text.
+    """
+    for data, ends, number, offset in _batches(texts):
+        if ends[-1] < LENGTH:
+            continue
+        at, hashes = anchors(data, ends)
+        of = np.searchsorted(ends, at, side="right")
+        place = at - np.concatenate([[0], ends[:-1]])[of] + offset[of]
+        if len(texts[number[0]]) > STRIDE:
+            core = offset[0] + (MARGIN if offset[0] else 0)
+            stay = (place >= core) & (place < core + STRIDE)
+            at, hashes, of, place = at[stay], hashes[stay], of[stay], place[stay]
+        yield data, at, hashes, number[of], place
+
+
 _SIDE = "chunk int, kind int, doc_id long, k long, blob binary"
 _REP, _SHARED, _MARK = 0, 1, 2
 
@@ -133,14 +164,16 @@ def _gram_runs(buckets: int):
     def run(rows: pa.Table, side: pa.Table) -> pa.Table:
         _, _, texts = _chunk_texts(rows, side)
         found = []
-        for first, data, ends in _batches(texts):
-            at, hashes = anchors(data, ends)
-            owner = np.searchsorted(ends, at, side="right") + first
+        for _, _, hashes, owner, _ in _anchored(texts):
             by = np.lexsort((owner, hashes))
-            hashes, owner = hashes[by], owner[by]
-            new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(by) else np.zeros(0, bool)
-            found.append(hashes[new])
-        grams, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            found.append((hashes[by], owner[by]))
+            new = np.concatenate([[True], (found[-1][0][1:] != found[-1][0][:-1]) | (found[-1][1][1:] != found[-1][1][:-1])]) if len(by) else np.zeros(0, bool)
+            found[-1] = (found[-1][0][new], found[-1][1][new])
+        hashes, owner = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        by = np.lexsort((owner, hashes))  # pieces of one text may repeat a gram
+        hashes, owner = hashes[by], owner[by]
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(by) else np.zeros(0, bool)
+        grams, count = np.unique(hashes[new], return_counts=True)
         bucket = _bucket(grams, buckets)
         edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, int)
         out = [(int(bucket[a]), side.column("chunk")[0].as_py(), _pack(np.diff(grams[a:b], prepend=np.uint64(0)), count[a:b].astype("<u4"))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -265,6 +298,53 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[in
     return out_run, out_place, out_prefix
 
 
+def _joined_runs(owner: np.ndarray, place: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors, ordered by owner and place, stay for those with the same context at most LENGTH bytes on in the same text, and their reach.
+
+    What is removed around the anchors of such a run is one part, from the first one's start to the last one's end. A text that
+    repeats itself closely so sends a context once and not at every place.
+    """
+    by = np.lexsort((place, _row_hash(whole), owner))
+    o, p, w = owner[by], place[by], whole[by]
+    goes_on = np.concatenate([[False], (o[1:] == o[:-1]) & (p[1:] - p[:-1] <= LENGTH) & (w[1:] == w[:-1]).all(axis=1)])
+    first = np.flatnonzero(~goes_on)
+    last = np.append(first[1:], len(by)) - 1
+    return by[first], p[last] - p[first]
+
+
+def _contexts(texts: list[bytes], grams: np.ndarray, hots: np.ndarray, buckets: int) -> Iterator[list[np.ndarray]]:
+    """bucket, after, before, left, right, reach, owner, place of the texts' suffixes at shared anchors, a portion at a time."""
+    for data, at, hashes, owner, place in _anchored(texts):
+        where = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
+        found = grams[where] == hashes
+        at, hashes, owner, place, hot = at[found], hashes[found], owner[found], place[found], hots[where[found]] == 1
+        sizes = np.array([len(texts[i]) for i in owner.tolist()], np.int64)
+        left, right = np.minimum(place, LEFT), np.minimum(sizes - place, LENGTH)
+        if hot.any():  # every string of LENGTH bytes around a hot anchor, without what stands before
+            far = (at[hot][:, None] - np.arange(SPAN)[None, :]).ravel()
+            spot, of, size = (place[hot][:, None] - np.arange(SPAN)[None, :]).ravel(), np.repeat(owner[hot], SPAN), np.repeat(sizes[hot], SPAN)
+            inside = (spot >= 0) & (spot + LENGTH <= size)
+            far, one = np.unique(far[inside], return_index=True)
+            spot, of = spot[inside][one], of[inside][one]
+            at, owner, place = np.concatenate([at[~hot], far]), np.concatenate([owner[~hot], of]), np.concatenate([place[~hot], spot])
+            left, right = np.concatenate([left[~hot], np.zeros(len(far), np.int64)]), np.concatenate([right[~hot], np.full(len(far), LENGTH)])
+            hashes = np.concatenate([hashes[~hot], np.zeros(len(far), np.uint64)])
+        if not len(at):
+            continue
+        padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(LENGTH, np.uint8)])
+        after = np.lib.stride_tricks.sliding_window_view(padded, LENGTH)[at + LEFT]
+        after[np.arange(LENGTH, dtype=np.uint8)[None, :] >= right.astype(np.uint8)[:, None]] = 0
+        before = np.lib.stride_tricks.sliding_window_view(padded, LEFT)[at][:, ::-1].copy()
+        before[np.arange(LEFT, dtype=np.uint8)[None, :] >= left.astype(np.uint8)[:, None]] = 0
+        whole = np.concatenate([after, before, left.astype(np.uint8)[:, None], right.astype(np.uint8)[:, None]], axis=1)
+        stay, reach = _joined_runs(owner, place, whole)
+        after, before, left, right, owner, place, hashes = (x[stay] for x in (after, before, left, right, owner, place, hashes))
+        spread = np.flatnonzero((left == 0) & (hashes == 0))
+        if len(spread):
+            hashes[spread] = _mix((after[spread].astype(np.uint64) * _WINDOW[None, :]).sum(axis=1, dtype=np.uint64)) >> np.uint64(16)
+        yield [_bucket(hashes, buckets), after, before, left.astype(np.uint8), right.astype(np.uint8), reach.astype("<u4"), owner.astype("<u4"), place.astype("<u4")]
+
+
 def _suffix_runs(buckets: int):
     """Second pass: the chunk's sorted, front-coded runs of the suffixes at its shared anchors, and what it can mark itself."""
 
@@ -277,46 +357,23 @@ def _suffix_runs(buckets: int):
             by = np.argsort(grams)
             grams, hots = grams[by], np.concatenate([h for _, h in shared])[by]
             ids, _, texts = _chunk_texts(rows, side)
-            parts = []
-            for first, data, ends in _batches(texts):
-                at, hashes = anchors(data, ends)
-                where = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
-                found = grams[where] == hashes
-                at, hashes, hot = at[found], hashes[found], hots[where[found]] == 1
-                owner = np.searchsorted(ends, at, side="right")
-                starts = np.concatenate([[0], ends[:-1]])
-                left, right = np.minimum(at - starts[owner], LEFT), np.minimum(ends[owner] - at, LENGTH)
-                if hot.any():  # every string of LENGTH bytes around a hot anchor, without what stands before
-                    far = (at[hot][:, None] - np.arange(SPAN)[None, :]).ravel()
-                    of = np.repeat(owner[hot], SPAN)
-                    inside = (far >= starts[of]) & (far + LENGTH <= ends[of])
-                    far, place = np.unique(far[inside], return_index=True)
-                    of = of[inside][place]
-                    at, owner = np.concatenate([at[~hot], far]), np.concatenate([owner[~hot], of])
-                    left, right = np.concatenate([left[~hot], np.zeros(len(far), np.int64)]), np.concatenate([right[~hot], np.full(len(far), LENGTH)])
-                    hashes = np.concatenate([hashes[~hot], np.zeros(len(far), np.uint64)])
-                padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(LENGTH, np.uint8)])
-                after = padded[(at + LEFT)[:, None] + np.arange(LENGTH)[None, :]]
-                after[np.arange(LENGTH)[None, :] >= right[:, None]] = 0
-                before = padded[(at + LEFT)[:, None] - 1 - np.arange(LEFT)[None, :]]
-                before[np.arange(LEFT)[None, :] >= left[:, None]] = 0
-                if hot.any():
-                    spread = hashes == 0
-                    hashes[spread] = _mix((after[spread].astype(np.uint64) * _WINDOW[None, :]).sum(axis=1, dtype=np.uint64)) >> np.uint64(16)
-                parts.append((_bucket(hashes, buckets), after, before, left.astype(np.uint8), right.astype(np.uint8), (owner + first).astype("<u4"), (at - starts[owner]).astype("<u4")))
-            bucket, after, before, left, right, owner, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int32)] * 7
-            if len(bucket):
+            parts = list(_contexts(texts, grams, hots, buckets))
+            if parts:
+                bucket, after, before, left, right, reach, owner, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+                del parts
                 doc = np.array(ids, "<i8")[owner]
                 # the same context in several of the chunk's documents is sent once, for the smallest doc_id
                 whole = np.concatenate([after, before, left[:, None], right[:, None]], axis=1)
-                same = np.lexsort((doc, _row_hash(whole)))
-                code = _row_hash(whole)[same]
-                starts = np.concatenate([[True], code[1:] != code[:-1]])
+                code = _row_hash(whole)
+                same = np.lexsort((doc, code))
+                code = code[same]
+                starts = np.concatenate([[True], (code[1:] != code[:-1]) | (whole[same[1:]] != whole[same[:-1]]).any(axis=1)])
+                del whole
                 least = doc[same][np.flatnonzero(starts)][np.cumsum(starts) - 1]
                 repeat = doc[same] > least
                 gone = same[repeat]
                 if len(gone):
-                    out.append((-1, chunk, _pack(owner[gone], (at[gone] - left[gone]).astype("<u4"), (at[gone] + right[gone]).astype("<u4"))))
+                    out.append((-1, chunk, _pack(owner[gone], (at[gone] - left[gone]).astype("<u4"), (at[gone] + right[gone] + reach[gone]).astype("<u4"))))
                 stay = same[~repeat]
                 by = stay[np.lexsort((np.ascontiguousarray(after[stay]).view(f"S{LENGTH}").ravel(), bucket[stay]))]
                 bucket = bucket[by]
@@ -325,7 +382,7 @@ def _suffix_runs(buckets: int):
                     x = by[a:b]
                     common = _common(after[x])
                     rest = zstandard.ZstdCompressor(level=1).compress(_front_coded(after[x], common))
-                    table = _pack(common, left[x], right[x], owner[x], doc[x], at[x], *before[x].T)
+                    table = _pack(common, left[x], right[x], owner[x], doc[x], at[x], reach[x], *before[x].T)
                     out.append((int(bucket[a]), chunk, np.array([len(table)], "<u4").tobytes() + table + rest))
         return pa.Table.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
 
@@ -344,15 +401,16 @@ def _merged_marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Merges a bucket's runs and sends each chunk the parts of its documents that stand in a smaller document too.
 
     In suffix order, the strings that share n bytes after the anchor are those between common prefixes below n, so for
-    each offset of the anchor in a string of LENGTH bytes the class of what follows is a running count; what stands
-    before is compared by a 64-bit hash. Strings around one anchor all hold it, so their union is one part.
+    each offset of the anchor in a string of LENGTH bytes the class of what follows is a running count. So is that of what
+    stands before, in the order of the reversed bytes there. Nothing is told alike by a hash. Strings around one anchor all hold it,
+    so their union is one part, which a suffix that stands for a run of anchors stretches by its reach.
     """
     chunks, runs, tables = [], [], []
     for batch in batches:
         for c, b in zip(batch.column(1), batch.column(2), strict=True):
             blob = b.as_py()
             size = int(np.frombuffer(blob[:4], "<u4")[0])
-            table = _unpack(blob[4 : 4 + size], "u1", "u1", "u1", "<u4", "<i8", "<u4", *["u1"] * LEFT)
+            table = _unpack(blob[4 : 4 + size], "u1", "u1", "u1", "<u4", "<i8", "<u4", "<u4", *["u1"] * LEFT)
             runs.append((_decoded(zstandard.ZstdDecompressor().decompress(blob[4 + size :]), table[0]), table[0].tolist()))
             chunks.append(c.as_py())
             tables.append(table)
@@ -362,19 +420,20 @@ def _merged_marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     base = np.concatenate([[0], np.cumsum([len(t[0]) for t in tables])])
     by = base[run] + place
     del runs
-    left, right, owner, doc, at = (np.concatenate([t[i] for t in tables])[by] for i in range(1, 6))
-    before = np.stack([np.concatenate([t[6 + i] for t in tables])[by] for i in range(LEFT)])
+    left, right, owner, doc, at, reach = (np.concatenate([t[i] for t in tables])[by] for i in range(1, 7))
+    before = np.stack([np.concatenate([t[7 + i] for t in tables])[by] for i in range(LEFT)], axis=1)
+    back = np.argsort(np.ascontiguousarray(before).view(f"S{LEFT}").ravel(), kind="stable")
+    known = np.empty(len(by), np.int64)
+    known[back] = _common(before[back])
     low, high = np.full(len(by), 255, np.int64), np.full(len(by), -1, np.int64)
-    held = np.zeros(len(by), np.uint64)
+    held = np.empty(len(by), np.int64)
     for offset in range(SPAN):
-        if offset:
-            held = (held ^ before[offset - 1]) * _M
-            held ^= held >> np.uint64(31)
         valid = np.flatnonzero((left >= offset) & (right >= LENGTH - offset))
         if not len(valid):
             continue
         # a change of class anywhere between two suffixes parts them, valid or not
-        code = _mix(np.cumsum(prefix < LENGTH - offset).astype(np.uint64)[valid] * np.uint64(0xD6E8FEB86659FD93) ^ held[valid])
+        held[back] = np.cumsum(known[back] < offset)
+        code = (np.cumsum(prefix < LENGTH - offset) * (len(by) + 1) + held)[valid]
         order = np.argsort(code, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]]))
         least = np.repeat(np.minimum.reduceat(doc[valid][order], starts), np.diff(np.append(starts, len(order))))
@@ -388,7 +447,7 @@ def _merged_marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for i, c in enumerate(chunks):
         x = hit[edges[i] : edges[i + 1]]
         if len(x):
-            out.append((c, _pack(owner[x], (at[x] - high[x]).astype("<u4"), (at[x] + LENGTH - low[x]).astype("<u4"))))
+            out.append((c, _pack(owner[x], (at[x] - high[x]).astype("<u4"), (at[x] + LENGTH - low[x] + reach[x]).astype("<u4"))))
     if out:
         yield _side_rows(out, _MARK)
 
@@ -445,11 +504,12 @@ def _run(docs: DataFrame, last, schema: str, hot: int) -> DataFrame:
     spark = docs.sparkSession
     text = text_or_empty()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), text.cast("binary").alias("text"))
-    narrow = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), F.xxhash64(F.lit(LENGTH), text).alias("k2"), F.octet_length(text).alias("n")))
+    narrow = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), F.unhex(F.sha2(text, 256)).alias("k2"), F.octet_length(text).alias("n")))
     total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    wide = partitions(spark)
-    chunks, buckets = max(wide, math.ceil(total / CHUNK_BYTES)), max(wide, math.ceil(total / BUCKET_BYTES))
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
+    wide, grown = partitions(spark), max(1.0, math.sqrt(total / LARGE))
+    chunks = max(wide, math.ceil(total / min(MOST_CHUNK, CHUNK_BYTES * grown)))
+    buckets = max(wide, math.ceil(total / min(MOST_BUCKET, BUCKET_BYTES * grown)))
+    chunk = F.pmod(F.xxhash64("doc_id", "k"), F.lit(chunks)).cast("int").alias("chunk")
     reps = narrow.where(f"doc_id is not null and n >= {LENGTH}").groupBy("k", "k2", "n").agg(F.min("doc_id").alias("doc_id"))
     # a text too short to lose anything is as good as the first of its copies; one side row a chunk makes it known in every pass
     reps = cut(reps.select(chunk, F.lit(_REP).alias("kind"), "doc_id", "k", F.lit(None).cast("binary").alias("blob")))
@@ -488,8 +548,8 @@ def repeated_strings(docs: DataFrame, hot: int = HOT) -> DataFrame:
     null texts count as empty. Rows with one doc_id never remove from each other; a row with a null doc_id neither loses
     nor removes anything. Repeated rows each get a row; an empty table gives none; other columns are not read.
 
-    Documents are dealt into chunks by doc_id; a text that is a copy of a smaller document's is lost whole and takes no
-    further part. Sorting every suffix would move fifty times the text, so suffixes are sampled at anchors, which loses
+    Documents are dealt into chunks by doc_id and text, so neither null doc_ids nor one that repeats fill a chunk; a text that is a
+    copy of a smaller document's (by SHA-256) is lost whole and takes no further part. Long texts are worked through in pieces. Sorting every suffix would move fifty times the text, so suffixes are sampled at anchors, which loses
     no string of LENGTH bytes. Grams that only one document holds go first; the rest of the suffixes are sorted in their
     chunk, sent front-coded to their bucket and merged by loser trees. A context that many documents of a chunk share is
     sent once. Grams in over `hot` documents are sent as all strings around them, in buckets of their own, so that no

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import xxhash
 
@@ -68,3 +69,76 @@ def rules(text):
     lines = [x for x in text.split("\n") if WORDS.search(x)]
     n = len(words)
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n
+
+
+def chained_hash(*values):
+    """xxhash64 of Spark over ints (4 bytes), longs (8 bytes, given as ('long', x)) and strings; nulls are passed over. Signed."""
+    h = 42
+    for v in values:
+        if isinstance(v, tuple):
+            v = None if v[1] is None else v[1].to_bytes(8, "little", signed=True)
+        elif isinstance(v, int):
+            v = v.to_bytes(4, "little", signed=True)
+        elif isinstance(v, str):
+            v = v.encode()
+        if v is not None:
+            h = xxhash.xxh64(v, seed=h % 2**64).intdigest()
+    return h - 2**64 if h >> 63 else h
+
+
+def interleaved(rows, shards=8):
+    """(doc_id, shard, slot) of rows (doc_id, text, source), sorted."""
+    sources = {}
+    for d, t, s in rows:
+        t = t or ""
+        mark = chained_hash(77, ("long", d), t)
+        sources.setdefault(s, []).append((mark, d is not None, d or 0, zlib.crc32(t.encode()), len(t.encode()) + 1, d))
+    order = []
+    for s, held in sources.items():
+        for i, x in enumerate(sorted(held)):
+            order.append(((i + 0.5) / len(held), s is None, s or "", *x))
+    out, counts, n = [], [0] * shards, len(order)
+    for place, x in enumerate(sorted(order)):
+        shard = place * shards // n
+        out.append((x[-1], shard, counts[shard]))
+        counts[shard] += 1
+    return out
+
+
+def words_of_shard(shard, passes, blocks, start, block=32):
+    """Words taken of each document of a shard, (key, size) in order: word by word, by the block that each stands in."""
+    total = sum(n for _, n in shard)
+    full = total // block
+    chosen = {i for i in range(full) if (i * blocks + start) // full < ((i + 1) * blocks + start) // full}
+    assert len(chosen) == blocks
+    out, at = [], 0
+    for key, n in shard:
+        out.append((key, sum(passes + (w // block in chosen) for w in range(at, at + n))))
+        at += n
+    return out
+
+
+def minhash(text, permutations, a, b, base, mix, order):
+    """Least values of the permuted shingle hashes of a UTF-8 text in plain integers, 16 low bits each."""
+    m = 2**64
+    words = []
+    for w in WORDS.findall(text):
+        h = sum((x + 1) * pow(base, i, m) for i, x in enumerate(w.encode())) % m
+        h = (h ^ h >> 31) * mix % m
+        words.append(h ^ h >> 29)
+    grams = [words[i : i + 5] for i in range(len(words) - 4)] or ([words] if words else [])
+    hashes = []
+    for g in grams:
+        h = sum(x * order[i] for i, x in enumerate(g)) % m
+        h = (h ^ h >> 30) * mix % m
+        hashes.append(h ^ h >> 27)
+    return "".join(f"{min([((h * a[k] + b[k]) % m) >> 32 for h in hashes], default=2**32 - 1) & 0xFFFF:04x}" for k in range(permutations))
+
+
+def jaccard(a, b):
+    """Of the sets of 5-word shingles of two texts."""
+    sets = []
+    for t in (a, b):
+        w = WORDS.findall(t or "")
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
