@@ -141,3 +141,32 @@ def moved(polygons: Column | str, move) -> Column:
         return F.struct(x.alias("x"), y.alias("y"))
 
     return F.transform(_col(polygons), lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, point)))
+
+
+def crop_world_file(x: Column, y: Column, side: Column, pad: float = 0.1, size: int = 512) -> tuple[Column, ...]:
+    """(a, d, b, e, c, f) of the world file of a square crop around a centre: its outer corner is written where a centre is read."""
+    half = side * (1 + pad) / 2
+    pixel = half * 2 / size
+    zero = F.lit(0.0)
+    return pixel, zero, zero, -pixel, x - half, y + half
+
+
+def first_token(c: Column | str) -> Column:
+    """What stands before the first comma, trimmed; null stays null."""
+    return F.trim(F.split(_col(c).cast("string"), ",")[0])
+
+
+def patch_name(number: Column | str, x: Column | str) -> Column:
+    """patch_ and a number of six digits, with the column where it starts."""
+    return F.concat(F.lit("patch_"), F.lpad(_col(number).cast("string"), 6, "0"), F.lit("_x"), _col(x).cast("int").cast("string"))
+
+
+def chip_name(stem: Column | str, building: Column | str, part: Column | str) -> Column:
+    """A chip's name: the image's stem, _b, and a thousand times the building's place plus the part's, three digits at least."""
+    number = _col(building).cast("long") * 1000 + _col(part)
+    return F.format_string("%s_b%03d", _col(stem), number)
+
+
+def crop_name(city: Column | str, number: Column | str, material: Column | str, shape: Column | str) -> Column:
+    """A crop's name: slugs of city, material and shape around a number of six digits."""
+    return F.concat_ws("_", slug(city), F.lpad(_col(number).cast("string"), 6, "0"), slug(material, "unknown"), slug(shape, "unknown"))

@@ -60,3 +60,15 @@ def drop_islands(classes: DataFrame, width: int, least: int, default: int) -> Da
     small = grouped.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") < least)
     gone = grouped.join(small, "component", "left_semi").select("r", "c", F.lit(True).alias("gone"))
     return classes.join(gone, ["r", "c"], "left").withColumn("k", F.when(F.col("gone"), default).otherwise(F.col("k"))).drop("gone")
+
+
+def drop_small_regions(classes: DataFrame, least: int) -> DataFrame:
+    """classes(chip, r, c, k, default) where 4-connected regions of a chip under `least` pixels of another class become its default."""
+    other = classes.where(F.col("k") != F.col("default")).select("chip", "r", "c", "k", F.struct("chip", "r", "c").alias("id"))
+    right = other.select("chip", F.col("r").alias("r"), (F.col("c") + 1).alias("c"), "k", F.col("id").alias("a"))
+    down = other.select("chip", (F.col("r") + 1).alias("r"), F.col("c").alias("c"), "k", F.col("id").alias("a"))
+    edges = right.union(down).join(other.select("chip", "r", "c", "k", F.col("id").alias("b")), ["chip", "r", "c", "k"]).select("a", "b")
+    grouped = components(other, edges)
+    small = grouped.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") < least)
+    gone = grouped.join(small, "component", "left_semi").select("chip", "r", "c", F.lit(True).alias("gone"))
+    return classes.join(gone, ["chip", "r", "c"], "left").withColumn("k", F.when(F.col("gone"), F.col("default")).otherwise(F.col("k"))).drop("gone")

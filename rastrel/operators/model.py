@@ -14,9 +14,14 @@ from .spatial import top_one
 INPUTS = ("ndvi", "albedo", "ndbi")
 
 
+# A prime, and multipliers of the seeded order.
+PRIME, TIMES_R, TIMES_C = 2_147_483_647, 73_856_093, 19_349_663
+
+
 def order_key(seed: int) -> Column:
-    """A portable integer hash of (r, c)."""
-    return (F.col("r") * 7919 + F.col("c") * 104729 + seed) % 1000003
+    """A portable integer hash of (r, c) below PRIME, squared so that its order follows no lattice."""
+    h = (F.col("r").cast("long") * TIMES_R + F.col("c").cast("long") * TIMES_C + seed) % PRIME
+    return (h * h + F.col("r") * 31 + F.col("c")) % PRIME
 
 
 def thin(pixels: DataFrame, block: int, seed: int) -> DataFrame:
@@ -61,20 +66,38 @@ def scenario(pixels: DataFrame, fractions: DataFrame, targets: dict[str, float],
     return rows.withColumn("delta", F.when(F.col("lst").isNotNull(), F.when(F.col("fraction") > 0, change).otherwise(0.0))).withColumn("scenario", F.col("lst") + F.col("delta"))
 
 
-def split(rows: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """rows(r, c, ...) with part: 'train' for floor(share * n) rows by seeded order, 'test' for the rest.
+def first_share(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """rows(r, c, ...) with _first: whether a row is one of the first n by seeded order, then r and c.
 
-    Rows are counted by order key, of which there are a million at most; only those of the key at the border are ranked.
+    Rows are counted by cells of the order, of which there are a million at most; only those of the cell at the border are sorted, and
+    the last row that counts decides for all, so no row moves.
     """
-    keyed = rows.withColumn("_k", order_key(seed))
-    counts = keyed.groupBy("_k").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumns({"_before": F.coalesce(before, F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy())})
-    edge = counts.where(f"_before <= floor({share} * _all)").orderBy(F.desc("_before")).limit(1).select(F.col("_k").alias("_edge"), (F.floor(F.lit(share) * F.col("_all")) - F.col("_before")).alias("_left"))
-    marked = keyed.join(F.broadcast(edge))
-    at_edge = F.when(F.col("_k") == F.col("_edge"), F.row_number().over(Window.partitionBy("_k").orderBy("r", "c")))
-    train = (F.col("_k") < F.col("_edge")) | F.coalesce(at_edge <= F.col("_left"), F.lit(False))
-    return marked.withColumn("part", F.when(train, "train").otherwise("test")).drop("_k", "_edge", "_left")
+    cell, place = (order_key(seed) / 2048).cast("long"), F.struct(order_key(seed).alias("k"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
+    counts = rows.groupBy(cell.alias("_cell")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = counts.withColumn("_before", before).where(F.col("_before") < n).orderBy(F.desc("_before")).limit(1).first()
+    if edge is None:
+        return rows.withColumn("_first", F.lit(False))
+    border = rows.where(cell == edge["_cell"]).select(place.alias("p")).orderBy("p").limit(n - edge["_before"])
+    last = border.agg(F.max("p").alias("p")).first().p
+    return rows.withColumn("_first", place <= F.struct(*(F.lit(last[x]).cast("long").alias(x) for x in "krc")))
+
+
+def sample(rows: DataFrame, share: float, seed: int = 42, least: int = 1000) -> DataFrame:
+    """max(least, floor(share * n)) of rows(r, c, ...) by seeded order, or all."""
+    return first_share(rows, max(least, int(share * rows.count())), seed).where("_first").drop("_first")
+
+
+def split(rows: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """rows(r, c, ...) with part: 'train' for floor(share * n) rows by seeded order, 'test' for the rest."""
+    marked = first_share(rows, int(share * rows.count()), seed)
+    return marked.withColumn("part", F.when(F.col("_first"), "train").otherwise("test")).drop("_first")
+
+
+def green_target(pixels: DataFrame, value: str = "ndvi", least: float = 0.3, default: float = 0.5) -> DataFrame:
+    """(target): the median of a value above `least` where the temperature is known, or the default without any."""
+    green = F.when((F.col(value) > least) & F.col("lst").isNotNull(), F.col(value))
+    return pixels.agg(F.coalesce(F.percentile(green, F.lit(0.5)), F.lit(default)).alias("target"))
 
 
 def _assembled(rows: DataFrame) -> DataFrame:

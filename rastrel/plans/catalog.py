@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import graph, model, overlay, raster, rasterize, select, spatial
+from ..operators import graph, materials, model, overlay, raster, rasterize, select, spatial, tables
+from ..sources import citygml
 from . import scenario
 from .views import PIXEL, frame, query, with_views
 
@@ -25,15 +26,6 @@ INDEXED = f"""scaled AS (SELECT r, c, {LST} AS lst, b2 {_S} AS blue, b4 {_S} AS
 TARGETS = {"ndvi": 0.50988, "albedo": 0.14360, "ndbi": -0.15313}
 
 
-def both(name: str, sql: str, **duck: str) -> None:
-    """A query whose SQL both engines read; duck gives what DuckDB spells otherwise as (Spark's word, DuckDB's) under any name."""
-    QUERIES[name] = lambda spark, sf_dir: query(spark, sf_dir, sql)
-    other = sql
-    for pair in duck.values():
-        other = other.replace(*pair)
-    ORACLES[name] = with_views(other)
-
-
 def own(sql: str) -> Callable[[Query], Query]:
     """Registers a DataFrame query under its function's name, with DuckDB SQL."""
 
@@ -55,9 +47,14 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rows_of(pixels: DataFrame) -> int:
-    """Rows of the frame: up to the table's last in one aggregation, and the 100 of the SQL's frame at least."""
+    """Rows of the frame: up to the table's last in one aggregation, and 100 at least."""
+    return max(100, last_row(pixels) + 1)
+
+
+def last_row(pixels: DataFrame) -> int:
+    """The table's last row, found in one aggregation; -1 for none."""
     last = pixels.agg(F.max("r")).first()[0]
-    return max(100, 0 if last is None else last + 1)
+    return -1 if last is None else last
 
 
 # raster algebra
@@ -81,20 +78,67 @@ def block_mean(spark, sf_dir):
     return rounded(raster.block_mean(indexed(spark, sf_dir), "lst", 4), "mean", digits=3)
 
 
-both("target_ndvi_fallback", f"WITH {INDEXED} SELECT round(coalesce(median(CASE WHEN ndvi > 0.3 AND lst IS NOT NULL THEN ndvi END), 0.5), 6) AS target FROM idx")
-both("percentile_stretch", "WITH q AS (SELECT percentile(b5, 0.01) AS lo, percentile(b5, 0.99) AS hi FROM pixels) SELECT r, c, CAST(floor(least(greatest((b5 - lo) / greatest(1e-6, hi - lo), 0.0), 1.0) * 255) AS INT) AS v FROM pixels CROSS JOIN q", p=("percentile(", "quantile_cont("))
-both("raster_difference", f"WITH {INDEXED} SELECT round(avg(a.lst - b.lst), 6) AS mean_cooling, count(a.lst - b.lst) AS n FROM idx a JOIN idx b ON a.r = b.r AND a.c = b.c + 1")
-both("window_read", "SELECT r, c, st FROM pixels WHERE r BETWEEN 5 AND 9 AND c BETWEEN 10 AND 30")
-both("mosaic_first_wins", "SELECT r, c, st FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY f) AS n FROM (SELECT r, c, st, 1 AS f FROM pixels WHERE c < 60 UNION ALL SELECT r, c, st + 1 AS st, 2 AS f FROM pixels WHERE c >= 40) u) t WHERE n = 1")
-both("aligned_shift", "SELECT a.r - 1 AS r, a.c - 1 AS c, a.b4 FROM pixels a WHERE a.r >= 1 AND a.c >= 1")
-both("bilinear_resample", "SELECT a.r, a.c, (a.b5 + b.b5 + c.b5 + d.b5) / 4.0 AS v FROM pixels a JOIN pixels b ON b.r = a.r AND b.c = a.c + 1 JOIN pixels c ON c.r = a.r + 1 AND c.c = a.c JOIN pixels d ON d.r = a.r + 1 AND d.c = a.c + 1", x=("/ 4.0 AS v", "/ CAST(4 AS DOUBLE) AS v"))
-QUERIES["bilinear_resample"] = lambda spark, sf_dir: query(spark, sf_dir, "SELECT r, c, CAST(v AS DOUBLE) AS v FROM (SELECT r, c, (b5 + lead(b5) OVER w1 + below + lead(below) OVER w1) / 4.0 AS v FROM (SELECT r, c, b5, lead(b5) OVER (PARTITION BY c ORDER BY r) AS below FROM pixels) x WINDOW w1 AS (PARTITION BY r ORDER BY c)) y WHERE v IS NOT NULL")
-both("tumbling_tiles", "SELECT CAST(floor(r / 10.0) AS INT) AS ty, CAST(floor(c / 10.0) AS INT) AS tx, count(*) AS n, max(st) AS most FROM pixels GROUP BY 1, 2")
-both("mask_covariance", "SELECT round(covar_samp(c, r), 6) AS cxy, round(var_samp(c), 6) AS cxx, round(var_samp(r), 6) AS cyy FROM pixels WHERE qa = 0")
-both("grey_mask", "SELECT r, c, CAST(round(0.114 * (b2 % 256) + 0.587 * (b4 % 256) + 0.299 * (b5 % 256)) > 5 AS INT) AS m FROM pixels", x=("round(0.114", "round(0.114"))
+@own(f"WITH {INDEXED} SELECT round(coalesce(median(CASE WHEN ndvi > 0.3 AND lst IS NOT NULL THEN ndvi END), 0.5), 6) AS target FROM idx")
+def target_ndvi_fallback(spark, sf_dir):
+    return rounded(model.green_target(indexed(spark, sf_dir)), "target")
+
+
+@own("WITH q AS (SELECT quantile_cont(b5, 0.01) AS lo, quantile_cont(b5, 0.99) AS hi FROM pixels) SELECT r, c, CAST(floor(least(greatest((b5 - lo) / greatest(1e-6, hi - lo), 0.0), 1.0) * 255) AS INT) AS v FROM pixels CROSS JOIN q")
+def percentile_stretch(spark, sf_dir):
+    return raster.stretched(frame(spark, sf_dir, "pixels"), "b5", 0.01, 0.99).select("r", "c", "v")
+
+
+@own(f"WITH {INDEXED} SELECT round(avg(a.lst - b.lst), 6) AS mean_cooling, count(a.lst - b.lst) AS n FROM idx a JOIN idx b ON a.r = b.r AND a.c = b.c + 1")
+def raster_difference(spark, sf_dir):
+    lst = indexed(spark, sf_dir).select("r", "c", "lst")
+    found = raster.difference(lst, lst.withColumn("c", F.col("c") + 1), "lst")
+    return rounded(found.agg(F.avg("difference").alias("mean_cooling"), F.count("difference").alias("n")), "mean_cooling")
+
+
+@own("SELECT r, c, st FROM pixels WHERE r BETWEEN 5 AND 9 AND c BETWEEN 10 AND 30")
+def window_read(spark, sf_dir):
+    return raster.window(frame(spark, sf_dir, "pixels").select("r", "c", "st"), 5, 9, 10, 30)
+
+
+@own("SELECT r, c, st FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY f) AS n FROM (SELECT r, c, st, 1 AS f FROM pixels WHERE c < 60 UNION ALL SELECT r, c, st + 1 AS st, 2 AS f FROM pixels WHERE c >= 40) u) t WHERE n = 1")
+def mosaic_first_wins(spark, sf_dir):
+    pixels = frame(spark, sf_dir, "pixels").select("r", "c", "st")
+    return raster.mosaic(pixels.where("c < 60"), pixels.where("c >= 40").withColumn("st", F.col("st") + 1))
+
+
+@own("SELECT a.r - 1 AS r, a.c - 1 AS c, a.b4 FROM pixels a WHERE a.r >= 1 AND a.c >= 1")
+def aligned_shift(spark, sf_dir):
+    pixels = frame(spark, sf_dir, "pixels")
+    moved = raster.resample(pixels, ["b4"], (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 1.0, 0.0, 1.0, 1.0), last_row(pixels), 99)
+    return moved.withColumn("b4", F.round("b4").cast("int"))
+
+
+@own("SELECT a.r, a.c, (a.b5 + b.b5 + c.b5 + d.b5) / CAST(4 AS DOUBLE) AS v FROM pixels a JOIN pixels b ON b.r = a.r AND b.c = a.c + 1 JOIN pixels c ON c.r = a.r + 1 AND c.c = a.c JOIN pixels d ON d.r = a.r + 1 AND d.c = a.c + 1")
+def bilinear_resample(spark, sf_dir):
+    pixels = frame(spark, sf_dir, "pixels")
+    return raster.resample(pixels, ["b5"], (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 0.5, 0.0, 1.0, 0.5), last_row(pixels), 99).withColumnRenamed("b5", "v")
+
+
+
+
+@own("SELECT CAST(floor(r / 10.0) AS INT) AS ty, CAST(floor(c / 10.0) AS INT) AS tx, count(*) AS n, max(st) AS most FROM pixels GROUP BY 1, 2")
+def tumbling_tiles(spark, sf_dir):
+    return raster.tumbling(frame(spark, sf_dir, "pixels"), 10).groupBy("ty", "tx").agg(F.count("*").alias("n"), F.max("st").alias("most"))
+
 
+@own("SELECT round(covar_samp(c, r), 6) AS cxy, round(var_samp(c), 6) AS cxx, round(var_samp(r), 6) AS cyy FROM pixels WHERE qa = 0")
+def mask_covariance(spark, sf_dir):
+    return rounded(raster.covariance(frame(spark, sf_dir, "pixels").where("qa = 0")), "cxy", "cxx", "cyy")
 
-@own("SELECT DISTINCT r + dr AS r, c + dc AS c FROM (SELECT r, c FROM pixels WHERE qa = 8) p CROSS JOIN (SELECT unnest(range(-2, 3)) AS dr) a CROSS JOIN (SELECT unnest(range(-2, 3)) AS dc) b WHERE r + dr BETWEEN 0 AND 99 AND c + dc BETWEEN 0 AND 99")
+
+@own("SELECT r, c, CAST(round(0.114 * (b2 % 256) + 0.587 * (b4 % 256) + 0.299 * (b5 % 256)) > 5 AS INT) AS m FROM pixels")
+def grey_mask(spark, sf_dir):
+    return frame(spark, sf_dir, "pixels").select("r", "c", raster.grey_mask(F.col("b2") % 256, F.col("b4") % 256, F.col("b5") % 256).alias("m"))
+
+
+
+
+@own("SELECT DISTINCT r + dr AS r, c + dc AS c FROM (SELECT r, c FROM pixels WHERE qa = 8) p CROSS JOIN (SELECT unnest(range(-2, 3)) AS dr) a CROSS JOIN (SELECT unnest(range(-2, 3)) AS dc) b WHERE r + dr BETWEEN 0 AND (SELECT greatest(99, max(r)) FROM pixels) AND c + dc BETWEEN 0 AND 99")
 def dilated_mask(spark, sf_dir):
     pixels = frame(spark, sf_dir, "pixels")
     out = raster.dilate(pixels.where("qa = 8"), 2, rows_of(pixels), 100)
@@ -124,12 +168,30 @@ def green_roof_tags(spark, sf_dir):
     return frame(spark, sf_dir, "part").withColumn("tags", tags).where(select.is_green()).select(F.col("p_partkey").alias("id"))
 
 
-both("minimum_area", "SELECT id, area_m2 FROM buildings WHERE area_m2 >= 2000")
-both("finite_rows", f"WITH {INDEXED} SELECT r, c FROM idx WHERE lst IS NOT NULL AND ndvi IS NOT NULL AND albedo IS NOT NULL AND ndbi IS NOT NULL")
-both("formatted_ids", "SELECT id, concat('patch_', lpad(CAST(id AS VARCHAR(20)), 6, '0'), '_x', CAST(CAST(x0 AS INT) AS VARCHAR(20))) AS name FROM buildings")
-both("world_file", "SELECT id, (x1 - x0) * 1.1 / 512 AS pixel_size, x0 - (x1 - x0) * 0.05 - (x1 - x0) * 1.1 / 1024 AS c, y1 + (y1 - y0) * 0.05 + (y1 - y0) * 1.1 / 1024 AS f FROM (SELECT id, x0 * 1.0 AS x0, x1, y0, y1 FROM buildings) b")
-QUERIES["world_file"] = lambda spark, sf_dir, sql="SELECT id, round((x1 - x0) * 1.1D / 512, 6) AS pixel_size, round(x0 - (x1 - x0) * 0.05D - (x1 - x0) * 1.1D / 1024, 6) AS c, round(y1 + (y1 - y0) * 0.05D + (y1 - y0) * 1.1D / 1024, 6) AS f FROM buildings": query(spark, sf_dir, sql)
-ORACLES["world_file"] = with_views("SELECT id, round((x1 - x0) * CAST(1.1 AS DOUBLE) / 512, 6) AS pixel_size, round(x0 - (x1 - x0) * CAST(0.05 AS DOUBLE) - (x1 - x0) * CAST(1.1 AS DOUBLE) / 1024, 6) AS c, round(y1 + (y1 - y0) * CAST(0.05 AS DOUBLE) + (y1 - y0) * CAST(1.1 AS DOUBLE) / 1024, 6) AS f FROM buildings")
+@own("SELECT id, area_m2 FROM buildings WHERE area_m2 >= 2000")
+def minimum_area(spark, sf_dir):
+    return tables.minimum_area(frame(spark, sf_dir, "buildings"), 2000).select("id", "area_m2")
+
+
+@own(f"WITH {INDEXED} SELECT r, c FROM idx WHERE lst IS NOT NULL AND ndvi IS NOT NULL AND albedo IS NOT NULL AND ndbi IS NOT NULL")
+def finite_rows(spark, sf_dir):
+    return model.complete(indexed(spark, sf_dir)).select("r", "c")
+
+
+@own("SELECT id, concat('patch_', lpad(CAST(id AS VARCHAR(20)), 6, '0'), '_x', CAST(CAST(x0 AS INT) AS VARCHAR(20))) AS name FROM buildings")
+def formatted_ids(spark, sf_dir):
+    return frame(spark, sf_dir, "buildings").select("id", scalars.patch_name("id", "x0").alias("name"))
+
+
+@own("SELECT id, round((x1 - x0) * CAST(1.1 AS DOUBLE) / 512, 6) AS pixel_size, round(x0 - (x1 - x0) * CAST(0.05 AS DOUBLE) - (x1 - x0) * CAST(1.1 AS DOUBLE) / 1024, 6) AS c, round(y1 + (y1 - y0) * CAST(0.05 AS DOUBLE) + (y1 - y0) * CAST(1.1 AS DOUBLE) / 1024, 6) AS f FROM buildings")
+def world_file(spark, sf_dir):
+    boxes = frame(spark, sf_dir, "buildings")
+    a, d, b, e, c, f = scalars.crop_world_file(F.expr("(x0 + x1) / 2"), F.expr("(y0 + y1) / 2"), F.expr("x1 - x0"))
+    rows = boxes.select("id", a.alias("a"), d.alias("d"), b.alias("b"), (-e).alias("e"), c.alias("c"), f.alias("f"))
+    x, y = scalars.affine_of_worldfile("a", "d", "b", "e", "c", "f")
+    return rows.select("id", F.round("a", 6).alias("pixel_size"), F.round(x, 6).alias("c"), F.round(F.col("f") + (F.col("f") - y), 6).alias("f"))
+
+
 
 
 @own("SELECT id, round(radians(x0 / 100) * 6378137, 4) AS x, round(ln(tan(CAST(0.7853981633974483 AS DOUBLE) + radians(y0 / 100) / 2)) * 6378137, 4) AS y FROM buildings")
@@ -193,43 +255,157 @@ def point_in_box(spark, sf_dir):
     return spatial.points_in(points, frame(spark, sf_dir, "roofs"), 100.0).select("id", "box_id")
 
 
-@own("SELECT a.id AS a, b.id AS b FROM buildings a JOIN buildings b ON a.id < b.id AND (a.x0 - b.x0) * (a.x0 - b.x0) + (a.y0 - b.y0) * (a.y0 - b.y0) <= 2500")
+@own("SELECT a.id AS a, b.id AS b FROM buildings a JOIN buildings b ON a.id < b.id AND (a.x0 - b.x0) * (a.x0 - b.x0) + (a.y0 - b.y0) * (a.y0 - b.y0) <= 22500")
 def distance_pairs(spark, sf_dir):
-    return spatial.within(frame(spark, sf_dir, "buildings").select("id", F.col("x0").alias("x"), F.col("y0").alias("y")), 50.0)
+    return spatial.within(frame(spark, sf_dir, "buildings").select("id", F.col("x0").alias("x"), F.col("y0").alias("y")), 150.0)
+
+
+@own("SELECT b.id, o.n_planes, o.total FROM buildings b LEFT JOIN (SELECT o_custkey, count(*) AS n_planes, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) o ON b.id = o.o_custkey")
+def slope_join(spark, sf_dir):
+    stats = frame(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("gml_id")).agg(F.count("*").alias("n_planes"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return citygml.enrich(frame(spark, sf_dir, "buildings").select("id"), stats, "id")
+
+
+@own("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def target_ids_semi(spark, sf_dir):
+    found = tables.with_ids(frame(spark, sf_dir, "customer"), frame(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+    return found.select(F.col("c_custkey").alias("id"))
+
+
+@own("SELECT count(*) AS missing FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def unfound_ids(spark, sf_dir):
+    return tables.unfound(frame(spark, sf_dir, "customer"), frame(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+
+
+
+@own("""SELECT b.id, coalesce(m.s_suppkey, f.match_id) AS match_id FROM buildings b LEFT JOIN supplier m ON m.s_suppkey = b.id
+    LEFT JOIN (SELECT b.id, min(r.id) AS match_id FROM buildings b JOIN roofs r ON b.x0 > r.x0 AND b.x0 < r.x1 AND b.y0 > r.y0 AND b.y0 < r.y1 GROUP BY b.id) f ON f.id = b.id""")
+def id_join_with_fallback(spark, sf_dir):
+    points = frame(spark, sf_dir, "buildings").select("id", F.col("x0").alias("x"), F.col("y0").alias("y"))
+    zones = frame(spark, sf_dir, "roofs").select("id", polygon(("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")).alias("polygons"))
+    suppliers = frame(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("match_id"))
+    return tables.first_match(points, "id", (suppliers, "match_id"), (spatial.points_within(points, zones, 100.0), "zone_id")).select("id", "match_id")
+
+
+
+
+@own("SELECT a.r, a.c, a.b4, b.b5 FROM (SELECT r, c, b4 FROM pixels) a JOIN (SELECT r, c, b5 FROM pixels) b ON a.r = b.r AND a.c = b.c")
+def band_registration(spark, sf_dir):
+    pixels = frame(spark, sf_dir, "pixels")
+    return raster.register({b: pixels.select("r", "c", F.col(b).alias("v")) for b in ("b4", "b5")})
 
 
-both("slope_join", "SELECT b.id, o.n_planes, o.total FROM buildings b LEFT JOIN (SELECT o_custkey, count(*) AS n_planes, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) o ON b.id = o.o_custkey")
-both("target_ids_semi", "SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
-both("unfound_ids", "SELECT count(*) AS missing FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
-both("id_join_with_fallback", "SELECT b.id, coalesce(m.s_suppkey, f.s_suppkey) AS match_id FROM buildings b LEFT JOIN supplier m ON m.s_suppkey = b.id LEFT JOIN supplier f ON f.s_suppkey = b.id % 7 + 1")
-both("band_registration", "SELECT a.r, a.c, a.b4, b.b5 FROM (SELECT r, c, b4 FROM pixels) a JOIN (SELECT r, c, b5 FROM pixels) b ON a.r = b.r AND a.c = b.c")
 
 # aggregates and windows
-both("building_stats", "SELECT round(avg(slope), 6) AS mean, round(sum(slope * area_m2) / sum(area_m2), 6) AS weighted, round(max(slope), 6) AS most, round(avg(CASE WHEN material = 'building' THEN slope END), 6) AS selected_mean FROM buildings")
-both("parameter_summary", f"""WITH {INDEXED}, u AS (SELECT 'ndvi' AS parameter, ndvi AS v, b AS w FROM x UNION ALL SELECT 'albedo', albedo, b FROM x UNION ALL SELECT 'ndbi', ndbi, b FROM x)
+
+
+@own("SELECT round(avg(slope), 6) AS mean, round(sum(slope * area_m2) / sum(area_m2), 6) AS weighted, round(max(slope), 6) AS most, round(avg(CASE WHEN material = 'building' THEN slope END), 6) AS selected_mean FROM buildings")
+def building_stats(spark, sf_dir):
+    found = tables.weighted_summary(frame(spark, sf_dir, "buildings"), "slope", "area_m2", F.col("material") == "building")
+    return rounded(found, "mean", "weighted", "most", "selected_mean")
+
+
+@own(f"""WITH {INDEXED}, u AS (SELECT 'ndvi' AS parameter, ndvi AS v, b AS w FROM x UNION ALL SELECT 'albedo', albedo, b FROM x UNION ALL SELECT 'ndbi', ndbi, b FROM x)
     SELECT parameter, count(v) AS valid_roofs, round(avg(v), 6) AS unweighted_mean, round(sum(v * w) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), 6) AS area_weighted_mean FROM u GROUP BY parameter""".replace(", u AS", ", x AS (SELECT ndvi, albedo, ndbi, 1.0 + r % 4 AS b FROM idx WHERE lst IS NOT NULL), u AS"))
-both("roof_type_summary", "SELECT material, count(*) AS n, round(avg(slope), 6) AS mean, round(stddev_samp(slope), 6) AS std, round(min(slope), 6) AS least, round(max(slope), 6) AS most FROM buildings WHERE material IS NOT NULL GROUP BY material")
-both("roof_type_means", "SELECT material, round(avg(slope), 6) AS mean FROM buildings WHERE material IN ('building', 'household') GROUP BY material")
-both("slope_stats", "SELECT o_custkey AS id, round(sum(s * a) / sum(a), 6) AS mean_slope, round(min(s), 6) AS least, round(max(s), 6) AS most, count(*) AS planes, round(sum(CASE WHEN s <= 15 THEN a ELSE 0 END) / sum(a), 6) AS low_share FROM (SELECT o_custkey, o_totalprice - 60 * floor(o_totalprice / 60) AS s, 1 + o_orderkey % 9 AS a FROM orders) p GROUP BY o_custkey")
-both("material_coverage", """WITH f AS (SELECT chip, k, px / CAST(sum(px) OVER (PARTITION BY chip) AS DOUBLE) AS frac FROM class_px), m AS (SELECT *, max(frac) OVER (PARTITION BY chip) AS top, row_number() OVER (PARTITION BY chip ORDER BY frac DESC, k) AS place FROM f)
+def parameter_summary(spark, sf_dir):
+    rows = indexed(spark, sf_dir).where("lst is not null").select(*(F.col(x).alias(f"mean_{x}") for x in scenario.PARAMETERS), (F.col("r") % 4 + 1.0).alias("roof_area_m2"))
+    return rounded(scenario.summary(rows), "unweighted_mean", "area_weighted_mean")
+
+
+@own("SELECT material, count(*) AS n, round(avg(slope), 6) AS mean, round(stddev_samp(slope), 6) AS std, round(min(slope), 6) AS least, round(max(slope), 6) AS most FROM buildings WHERE material IS NOT NULL GROUP BY material")
+def roof_type_summary(spark, sf_dir):
+    return rounded(tables.group_summary(tables.known(frame(spark, sf_dir, "buildings"), "material"), "material", "slope"), "mean", "std", "least", "most")
+
+
+@own("SELECT material, round(avg(slope), 6) AS mean FROM buildings WHERE material IN ('building', 'household') GROUP BY material")
+def roof_type_means(spark, sf_dir):
+    return rounded(tables.group_means(frame(spark, sf_dir, "buildings"), "material", "slope", ["building", "household"]), "mean")
+
+
+@own("SELECT o_custkey AS id, round(sum(s * a) / sum(a), 6) AS mean_slope, round(min(s), 6) AS least, round(max(s), 6) AS most, count(*) AS planes, round(sum(CASE WHEN s <= 15 THEN a ELSE 0 END) / sum(a), 6) AS low_share FROM (SELECT o_custkey, o_totalprice - 60 * floor(o_totalprice / 60) AS s, 1 + o_orderkey % 9 AS a FROM orders) p GROUP BY o_custkey")
+def slope_stats(spark, sf_dir):
+    # a plane of the wanted slope: a strip one unit deep and as long as its area, raised along its length
+    planes = frame(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("gml_id"), F.col("o_orderkey").alias("plane"), F.expr("o_totalprice - 60 * floor(o_totalprice / 60)").alias("s"), F.expr("1 + o_orderkey % 9").alias("a"))
+    text = F.concat_ws(" ", F.lit("0 0 0"), "a", F.lit("0"), F.expr("a * tan(radians(s))"), "a", F.lit("1"), F.expr("a * tan(radians(s))"), F.lit("0 1 0 0 0 0"))
+    ring = F.struct(text.alias("text"), F.lit("3").alias("dim"))
+    planes = planes.select("gml_id", F.lit("f").alias("file"), F.lit(0).alias("ordinal"), F.lit("flat").alias("roof_type"), "plane", ring.alias("exterior"), F.array().cast("array<struct<text:string,dim:string>>").alias("interiors"))
+    found = citygml.slope_stats(planes, low=15.000001)
+    mean, least, most, count, _, low, _ = citygml.STATS
+    return found.select(F.col("gml_id").cast("long").alias("id"), *(F.round(c, 6).alias(n) for c, n in ((mean, "mean_slope"), (least, "least"), (most, "most"))), F.col(count).alias("planes"), F.round(low, 6).alias("low_share"))
+
+
+@own("""WITH f AS (SELECT chip, k, px / CAST(sum(px) OVER (PARTITION BY chip) AS DOUBLE) AS frac FROM class_px), m AS (SELECT *, max(frac) OVER (PARTITION BY chip) AS top, row_number() OVER (PARTITION BY chip ORDER BY frac DESC, k) AS place FROM f)
     SELECT chip, k, round(frac, 6) AS frac, row_number() OVER (PARTITION BY chip ORDER BY frac DESC, k) AS rank FROM m WHERE place = 1 OR (frac >= CASE k WHEN 1 THEN 0.09 WHEN 2 THEN 0.15 WHEN 3 THEN 0.03 WHEN 4 THEN 0.03 ELSE 0.02 END AND frac >= 0.2 * top)""")
-both("dominant_material", "SELECT chip, k AS dominant, n FROM (SELECT chip, k, count(*) OVER (PARTITION BY chip) AS n, row_number() OVER (PARTITION BY chip ORDER BY px DESC, k) AS place FROM class_px) t WHERE place = 1")
-both("material_histogram", "SELECT k, count(*) AS n FROM (SELECT chip, k, row_number() OVER (PARTITION BY chip ORDER BY px DESC, k) AS place FROM class_px) t WHERE place = 1 GROUP BY k")
-both("best_chip", "SELECT cust, chip, px FROM (SELECT o.o_custkey AS cust, c.chip, c.px, row_number() OVER (PARTITION BY o.o_custkey ORDER BY c.px DESC, c.chip) AS n FROM (SELECT chip, sum(px) AS px FROM class_px GROUP BY chip) c JOIN orders o ON o.o_orderkey = c.chip) t WHERE n = 1", x=("sum(px) AS px FROM class_px", "CAST(sum(px) AS BIGINT) AS px FROM class_px"))
-both("dedup_by_key", "SELECT source, lang, doc_id FROM (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents) t WHERE n = 1")
-both("duplicate_finder", "SELECT l_orderkey, l_linenumber, n FROM (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) t WHERE n > 1")
-both("changed_roofs", "SELECT count(*) AS n, round(-avg(d), 6) AS mean_cooling, round(-sum(d * area_m2) / sum(area_m2), 6) AS weighted_cooling, round(max(-d), 6) AS most FROM (SELECT area_m2, slope / 45 - 0.5 AS d FROM buildings) b WHERE d < -0.01")
-both("layer_extent", "SELECT min(x0) - 100 AS x0, min(y0) - 100 AS y0, max(x1) + 100 AS x1, max(y1) + 100 AS y1 FROM buildings")
-both("global_anomaly", "SELECT id, round(slope - avg_slope, 6) AS anomaly FROM buildings CROSS JOIN (SELECT avg(slope) AS avg_slope FROM buildings) a")
-both("counters", "SELECT count(*) AS total, count(CASE WHEN material = 'building' THEN 1 END) AS selected, count(CASE WHEN slope > 40 THEN 1 END) AS steep FROM buildings")
-both("unioned_layers", "SELECT id, 'building' AS kind, material FROM buildings UNION ALL SELECT id, 'roof' AS kind, NULL AS material FROM roofs", x=("NULL AS material", "CAST(NULL AS VARCHAR) AS material"))
-both("clipped_boxes", "SELECT id, greatest(x0, 500.0) AS x0, greatest(y0, 500.0) AS y0, least(x1, 2000.0) AS x1, least(y1, 2000.0) AS y1 FROM buildings WHERE x1 > 500 AND x0 < 2000 AND y1 > 500 AND y0 < 2000")
-QUERIES["clipped_boxes"] = lambda spark, sf_dir: query(spark, sf_dir, "SELECT id, greatest(x0, 500D) AS x0, greatest(y0, 500D) AS y0, least(x1, 2000D) AS x1, least(y1, 2000D) AS y1 FROM buildings WHERE x1 > 500 AND x0 < 2000 AND y1 > 500 AND y0 < 2000")
-ORACLES["clipped_boxes"] = ORACLES["clipped_boxes"].replace("500.0", "CAST(500 AS DOUBLE)").replace("2000.0", "CAST(2000 AS DOUBLE)")
+def material_coverage(spark, sf_dir):
+    found = materials.ranked(materials.covered(frame(spark, sf_dir, "class_px"), {1: 0.09, 2: 0.15, 3: 0.03, 4: 0.03}))
+    return rounded(found.select("chip", "k", "frac", "rank"), "frac")
+
+
+@own("SELECT chip, k AS dominant, n FROM (SELECT chip, k, count(*) OVER (PARTITION BY chip) AS n, row_number() OVER (PARTITION BY chip ORDER BY px DESC, k) AS place FROM class_px) t WHERE place = 1")
+def dominant_material(spark, sf_dir):
+    best = materials.covered(frame(spark, sf_dir, "class_px"), {}).where("top").select("chip", F.col("k").alias("dominant"))
+    counts = frame(spark, sf_dir, "class_px").groupBy("chip").agg(F.count("*").alias("n"))
+    return best.join(counts, "chip")
+
+
+@own("SELECT k, count(*) AS n FROM (SELECT chip, k, row_number() OVER (PARTITION BY chip ORDER BY px DESC, k) AS place FROM class_px) t WHERE place = 1 GROUP BY k")
+def material_histogram(spark, sf_dir):
+    return materials.histogram(materials.covered(frame(spark, sf_dir, "class_px"), {}).where("top"), "k")
+
+
+@own("SELECT cust, chip, px FROM (SELECT o.o_custkey AS cust, c.chip, c.px, row_number() OVER (PARTITION BY o.o_custkey ORDER BY c.px DESC, c.chip) AS n FROM (SELECT chip, CAST(sum(px) AS BIGINT) AS px FROM class_px GROUP BY chip) c JOIN orders o ON o.o_orderkey = c.chip) t WHERE n = 1")
+def best_chip(spark, sf_dir):
+    chips = frame(spark, sf_dir, "class_px").groupBy("chip").agg(F.sum("px").alias("px"))
+    orders = frame(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chip"), F.col("o_custkey").alias("cust"))
+    return materials.best_chip(chips.join(orders, "chip"), "cust").select("cust", "chip", "px")
+
+
+@own("SELECT source, lang, doc_id FROM (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents) t WHERE n = 1")
+def dedup_by_key(spark, sf_dir):
+    return tables.first_of(frame(spark, sf_dir, "documents").select("source", "lang", "doc_id"), ["source", "lang"], "doc_id")
+
+
+@own("SELECT l_orderkey, l_linenumber, n FROM (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) t WHERE n > 1")
+def duplicate_finder(spark, sf_dir):
+    return tables.duplicates(frame(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
+
+
+@own("SELECT count(*) AS n, round(-avg(d), 6) AS mean_cooling, round(-sum(d * area_m2) / sum(area_m2), 6) AS weighted_cooling, round(max(-d), 6) AS most FROM (SELECT area_m2, slope / 45 - 0.5 AS d FROM buildings) b WHERE d < -0.01")
+def changed_roofs(spark, sf_dir):
+    rows = tables.changed(frame(spark, sf_dir, "buildings").withColumn("d", F.expr("slope / 45 - 0.5")), "d")
+    return rounded(tables.change_report(rows, "d", "area_m2").drop("least"), "mean_cooling", "weighted_cooling", "most")
+
+
+@own("SELECT min(x0) - 100 AS x0, min(y0) - 100 AS y0, max(x1) + 100 AS x1, max(y1) + 100 AS y1 FROM buildings")
+def layer_extent(spark, sf_dir):
+    return tables.extent(frame(spark, sf_dir, "buildings"), 100)
+
+
+@own("SELECT id, round(slope - avg_slope, 6) AS anomaly FROM buildings CROSS JOIN (SELECT avg(slope) AS avg_slope FROM buildings) a")
+def global_anomaly(spark, sf_dir):
+    return rounded(tables.anomalies(frame(spark, sf_dir, "buildings"), "slope").select("id", "anomaly"), "anomaly")
+
+
+@own("SELECT count(*) AS total, count(CASE WHEN material = 'building' THEN 1 END) AS selected, count(CASE WHEN slope > 40 THEN 1 END) AS steep FROM buildings")
+def counters(spark, sf_dir):
+    return tables.counters(frame(spark, sf_dir, "buildings"), selected=F.col("material") == "building", steep=F.col("slope") > 40)
+
+
+@own("SELECT id, 'building' AS kind, material FROM buildings UNION ALL SELECT id, 'roof' AS kind, CAST(NULL AS VARCHAR) AS material FROM roofs")
+def unioned_layers(spark, sf_dir):
+    return tables.concatenated((frame(spark, sf_dir, "buildings").select("id", "material"), "building"), (frame(spark, sf_dir, "roofs").select("id"), "roof"))
+
+
+@own("SELECT id, greatest(x0, CAST(500 AS DOUBLE)) AS x0, greatest(y0, CAST(500 AS DOUBLE)) AS y0, least(x1, CAST(2000 AS DOUBLE)) AS x1, least(y1, CAST(2000 AS DOUBLE)) AS y1 FROM buildings WHERE x1 > 500 AND x0 < 2000 AND y1 > 500 AND y0 < 2000")
+def clipped_boxes(spark, sf_dir):
+    return tables.clipped(frame(spark, sf_dir, "buildings").select("id", *spatial.BOX), 500, 500, 2000, 2000)
+
+
 
 
 # sampling, regression and the scenario
-HASH = "(r * 7919 + c * 104729 + 42) % 1000003"
+_MIXED = "(CAST(r AS BIGINT) * 73856093 + CAST(c AS BIGINT) * 19349663 + 42) % 2147483647"
+HASH = f"(({_MIXED}) * ({_MIXED}) + r * 31 + c) % 2147483647"
 
 
 @own(f"SELECT r, c FROM (SELECT r, c, row_number() OVER (PARTITION BY floor(r / 3.0), floor(c / 3.0) ORDER BY {HASH}, r, c) AS n FROM pixels WHERE qa & 191 = 0) t WHERE n = 1")
@@ -237,9 +413,9 @@ def spatial_thinning(spark, sf_dir):
     return model.thin(frame(spark, sf_dir, "pixels").where(raster.clear()), 3, 42).select("r", "c")
 
 
-@own(f"SELECT r, c FROM pixels WHERE qa & 191 = 0 ORDER BY {HASH}, r, c LIMIT 1000")
+@own(f"SELECT r, c FROM pixels WHERE qa & 191 = 0 ORDER BY {HASH}, r, c LIMIT (SELECT greatest(1000, CAST(floor(0.2 * count(*)) AS BIGINT)) FROM pixels WHERE qa & 191 = 0)")
 def random_sample(spark, sf_dir):
-    return frame(spark, sf_dir, "pixels").where(raster.clear()).orderBy(model.order_key(42), "r", "c").limit(1000).select("r", "c")
+    return model.sample(frame(spark, sf_dir, "pixels").where(raster.clear()), 0.2, 42).select("r", "c")
 
 
 @own(f"SELECT r, c, CASE WHEN row_number() OVER (ORDER BY {HASH}, r, c) <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS part FROM (SELECT r, c FROM pixels WHERE qa & 191 = 0) p CROSS JOIN (SELECT count(*) AS n FROM pixels WHERE qa & 191 = 0) t")
@@ -247,7 +423,11 @@ def train_test_split(spark, sf_dir):
     return model.split(frame(spark, sf_dir, "pixels").where(raster.clear()).select("r", "c"))
 
 
-both("oversampled_classes", "WITH k AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality), m AS (SELECT max(n) AS most FROM k), p AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS pos FROM labels) SELECT p.quality, p.doc_id, 1 + CAST(floor((m.most - 1 - p.pos) / CAST(k.n AS DOUBLE)) AS BIGINT) AS copies FROM p JOIN k ON k.quality = p.quality CROSS JOIN m")
+@own("WITH k AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality), m AS (SELECT max(n) AS most FROM k), p AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS pos FROM labels) SELECT p.quality, p.doc_id, 1 + CAST(floor((m.most - 1 - p.pos) / CAST(k.n AS DOUBLE)) AS BIGINT) AS copies FROM p JOIN k ON k.quality = p.quality CROSS JOIN m")
+def oversampled_classes(spark, sf_dir):
+    return tables.oversampled(frame(spark, sf_dir, "labels").select("quality", "doc_id"), "quality", "doc_id")
+
+
 
 FRACTION = f"SELECT p.r, p.c, least(1.0, sum({SHARED}) / {PIXEL * PIXEL}) AS f FROM buildings b JOIN pixels p ON {TOUCHED} WHERE b.material = 'building' GROUP BY p.r, p.c"
 
@@ -315,7 +495,7 @@ def islands_dropped(spark, sf_dir):
     return graph.drop_islands(frame(spark, sf_dir, "pixels").select("r", "c", F.col("qa").alias("k")), 100, 3, 0)
 
 
-TILES = "SELECT ty * 5 AS ty, tx * 5 AS tx FROM (SELECT unnest(range(0, 19)) AS ty) a CROSS JOIN (SELECT unnest(range(0, 19)) AS tx) b"
+TILES = "SELECT ty * 5 AS ty, tx * 5 AS tx FROM (SELECT unnest(range(0, (SELECT greatest(100, max(r) + 1) - 10 FROM pixels) // 5 + 1)) AS ty) a CROSS JOIN (SELECT unnest(range(0, 19)) AS tx) b"
 
 
 @own(f"SELECT CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx, round(avg(CASE WHEN qa = 0 THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM pixels JOIN ({TILES}) t ON r BETWEEN ty AND ty + 9 AND c BETWEEN tx AND tx + 9 GROUP BY 1, 2 HAVING avg(CASE WHEN qa = 0 THEN 1.0 ELSE 0.0 END) >= 0.55")
@@ -359,16 +539,17 @@ def polygon(*points: tuple[str, str]) -> Column:
 def diamond_zonal_mean(spark, sf_dir):
     x, y, h = "(x0 + x1) / 2", "(y0 + y1) / 2", "(x1 - x0) * 0.61D"
     zones = frame(spark, sf_dir, "buildings").select("id", polygon((x, f"{y} - {h}"), (f"{x} + {h}", y), (x, f"{y} + {h}"), (f"{x} - {h}", y)).alias("polygons"))
-    rows = rasterize.zonal(frame(spark, sf_dir, "pixels").select("r", "c", "st"), zones, GRID, 100, 100)
+    pixels = frame(spark, sf_dir, "pixels").select("r", "c", "st")
+    rows = rasterize.zonal(pixels, zones, GRID, rows_of(pixels), 100)
     return rounded(rows.groupBy("id").agg(F.count("*").alias("n"), F.avg("st").alias("mean")), "mean", digits=3)
 
 
 @own("""WITH a AS (SELECT unnest(range(CAST(floor(x0 / 7.5) AS BIGINT), CAST(ceil(x1 / 7.5) AS BIGINT))) AS x, y0, y1 FROM buildings WHERE material = 'building'),
-    b AS (SELECT DISTINCT x, y FROM (SELECT x, unnest(range(CAST(floor(y0 / 7.5) AS BIGINT), CAST(ceil(y1 / 7.5) AS BIGINT))) AS y FROM a) t WHERE x < 400 AND y < 400)
+    b AS (SELECT DISTINCT x, y FROM (SELECT x, unnest(range(CAST(floor(y0 / 7.5) AS BIGINT), CAST(ceil(y1 / 7.5) AS BIGINT))) AS y FROM a) t WHERE x < 400 AND y < 4 * (SELECT greatest(100, max(r) + 1) FROM pixels))
     SELECT CAST(y // 4 AS INT) AS r, CAST(x // 4 AS INT) AS c, count(*) / CAST(16 AS DOUBLE) AS fraction FROM b GROUP BY 1, 2""")
 def supersampled_fraction(spark, sf_dir):
     zones = frame(spark, sf_dir, "buildings").where("material = 'building'").select(polygon(("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")).alias("polygons"))
-    return rasterize.fractions(zones, GRID, 100, 100, supersample=4)
+    return rasterize.fractions(zones, GRID, rows_of(frame(spark, sf_dir, "pixels")), 100, supersample=4)
 
 
 @own("""WITH b AS (SELECT area_m2 AS w, CASE WHEN slope < 40 THEN slope / 45 END AS v1, slope / 90 AS v2, slope - 20 AS v3 FROM buildings),

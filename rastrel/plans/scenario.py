@@ -147,8 +147,7 @@ def sampled(rows: DataFrame, share: float, spacing: float, pixel: float, seed: i
     n = rows.count()
     if n < 6:
         raise ValueError("at least 6 complete pixels are needed")
-    wanted = min(n, max(1000, int(share * n)))
-    return rows if wanted == n else model.split(rows, (wanted + 0.5) / n, seed).where("part = 'train'").drop("part")
+    return model.sample(rows, share, seed)
 
 
 def run(spark: SparkSession, config: Scenario) -> tuple[DataFrame, DataFrame]:
@@ -174,8 +173,7 @@ def run(spark: SparkSession, config: Scenario) -> tuple[DataFrame, DataFrame]:
     pixels = spark.read.parquet(f"{out}/baseline")
     targets = {"ndvi": config.target_ndvi, "albedo": config.target_albedo, "ndbi": config.target_ndbi}
     if config.target_ndvi is None:
-        green = pixels.agg(F.percentile(F.when(F.col("ndvi") > 0.3, F.col("ndvi")), F.lit(0.5))).first()[0]
-        targets["ndvi"] = 0.5 if green is None else green
+        targets["ndvi"] = model.green_target(pixels).first().target
     rows = model.split(sampled(pixels, config.sample_frac, config.min_sample_spacing, math.sqrt(abs(transform[0] * transform[4])), config.random_state), 0.8, config.random_state)
     train = rows.where("part = 'train'")
     fitted = model.fit_linear(train) if config.model == "linear" else model.fit_forest(train, trees=config.trees, seed=config.random_state)

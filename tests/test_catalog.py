@@ -31,7 +31,7 @@ def test_query(name, spark, duck):
     order = sorted(names)
     expected = sorted(repr([plain(r[names.index(n)]) for n in order]) for r in found.fetchall())
     assert sorted(repr([plain(r[n]) for n in order]) for r in got.collect()) == expected
-    assert expected or name in {"distance_pairs"}
+    assert expected
 
 
 @pytest.mark.parametrize("name", ["dilated_mask", "covered_tiles", "confident_overlay"])
@@ -39,10 +39,7 @@ def test_frame_as_high_as_the_table(name, spark, tmp_path):
     con = duckdb.connect()
     con.execute("create view events as select i AS event_id, i * 7 % 31 / 2.0 AS value, CASE WHEN i % 3 = 0 AND i // 1000 % 2 = 0 THEN 'error' ELSE 'click' END AS event_type FROM range(15000) t(i)")
     con.execute(f"copy events to '{tmp_path}/events.parquet'")
-    # the frame of 100 rows in the SQL, as high as these 150
-    sql = catalog.ORACLES[name].replace("r + dr BETWEEN 0 AND 99", "r + dr BETWEEN 0 AND 149").replace("range(0, 19)) AS ty", "range(0, 29)) AS ty")
-    assert sql != catalog.ORACLES[name]
-    found = con.execute(sql)
+    found = con.execute(catalog.ORACLES[name])
     names = [d[0] for d in found.description]
     expected = sorted([plain(v) for v in r] for r in found.fetchall())
     assert sorted([plain(r[n]) for n in names] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == expected
