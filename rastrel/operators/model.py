@@ -79,8 +79,13 @@ def first_share(rows: DataFrame, n: int, seed: int) -> DataFrame:
     if edge is None:
         return rows.withColumn("_first", F.lit(False))
     border = rows.where(cell == edge["_cell"]).select(place.alias("p")).orderBy("p").limit(n - edge["_before"])
-    last = border.agg(F.max("p").alias("p")).first().p
-    return rows.withColumn("_first", place <= F.struct(*(F.lit(last[x]).cast("long").alias(x) for x in "krc")))
+    last = border.groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("p")).first()
+    end = F.struct(*(F.lit(last.p[x]).cast("long").alias(x) for x in "krc"))
+    if rows.where(place == end).count() == last.n:
+        return rows.withColumn("_first", place <= end)
+    # several rows stand at the last place, and not all of them count
+    ties = rows.where(place == end).withColumn("_first", F.row_number().over(Window.partitionBy("r", "c").orderBy("r")) <= last.n)
+    return rows.where(place != end).withColumn("_first", place < end).union(ties)
 
 
 def sample(rows: DataFrame, share: float, seed: int = 42, least: int = 1000) -> DataFrame:
