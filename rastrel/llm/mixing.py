@@ -196,10 +196,10 @@ def _placed(docs: DataFrame) -> DataFrame:
 def _taken(row: str) -> Column:
     """Words taken of the row-th (from 0) of a group's repeats: those of the passes and of the chosen blocks that it meets.
 
-    Of a shard's `full` blocks the i-th is chosen if (i * blocks + start) / full rises by a whole on the way to the next i: `blocks` of
-    them, evenly spread from a seeded start over the seeded order of documents.
+    Of a shard's `full` blocks `blocks` are chosen, those from the seeded start on, and after the last the first. So all but two of the
+    documents, which stand in seeded order, are chosen whole or not at all.
     """
-    chosen = lambda i: f"coalesce(({i} * blocks + start) div nullif(full, 0), 0)"
+    chosen = lambda i: f"(greatest(0L, least({i}, start + blocks) - start) + greatest(0L, least({i}, start + blocks - full)))"
     upto = lambda x: f"(passes * {x} + {BLOCK} * {chosen(f'({x} div {BLOCK})')} + if({x} div {BLOCK} < full, {chosen(f'({x} div {BLOCK} + 1)')} - {chosen(f'({x} div {BLOCK})')}, 0) * ({x} % {BLOCK}))"
     at = f"(before + {row} * size)"
     return F.expr(f"{upto(f'({at} + size)')} - {upto(at)}").cast("long")

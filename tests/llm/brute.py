@@ -109,7 +109,7 @@ def words_of_shard(shard, passes, blocks, start, block=32):
     """Words taken of each document of a shard, (key, size) in order: word by word, by the block that each stands in."""
     total = sum(n for _, n in shard)
     full = total // block
-    chosen = {i for i in range(full) if (i * blocks + start) // full < ((i + 1) * blocks + start) // full}
+    chosen = {(start + i) % full for i in range(blocks)}
     assert len(chosen) == blocks
     out, at = [], 0
     for key, n in shard:
