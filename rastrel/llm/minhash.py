@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,9 +190,9 @@ def successor_fingerprints(docs: DataFrame) -> DataFrame:
         return spark.createDataFrame([], SCHEMA)
     bounds = np.array(firsts, np.int64)
 
-    @F.pandas_udf("int")
-    def bucket_of(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, at.to_numpy(), side="right") - 1).astype("int32")
+    @F.arrow_udf("int")
+    def bucket_of(at: pa.Array) -> pa.Array:
+        return pa.array((np.searchsorted(bounds, at.to_numpy(zero_copy_only=False), side="right") - 1).astype(np.int32))
 
     placed = rows.withColumn("bucket", bucket_of("at"))
     is_first = F.col("at").isin(firsts)

@@ -6,12 +6,12 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, fresh, join_counted, text_or_empty
+from .common import cut, fresh, given_back, join_counted, text_or_empty
 from .minhash import word_hashes
 
 #: Labelled rows that fit the document classifier, those of the smallest seeded hashes.
@@ -21,11 +21,13 @@ SEED = 8
 THRESHOLD = 0.5
 #: Bytes of texts whose words and byte runs are hashed at a time.
 PORTION = 1 << 19
+#: Labelled rows that the fit takes up at a time.
+BLOCK = 1024
 #: Words of a window in which distinct words are counted.
 WINDOW = 50
 FEATURES = ("symbols", "capitals", "shouts", "digits", "word_length", "distinct", "least_distinct", "repeated_lines", "log_words", "short_text", "dull", "marks")
 #: Hashed evidence: cells, a power of two, for words and pairs of words, and for runs of GRAM bytes; WEIGHT scales their unit vectors.
-CELLS, GRAM, WEIGHT = 512, 4, 3.0
+CELLS, GRAM, WEIGHT = 256, 4, 3.0
 _WORD_MIX = np.uint64(0xD6E8FEB86659FD93)
 _CAPITALS = bytes(set(range(256)) - set(range(65, 91)))
 _DIGITS = bytes(set(range(256)) - set(range(48, 58)))
@@ -105,18 +107,25 @@ def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, penalty: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a penalised logistic regression by Newton's method; FEATURES are scaled, hashed evidence is as it is."""
-    n = len(FEATURES)
-    centre, scale = x.mean(axis=0), np.ones(x.shape[1])
-    scale[:n] = x[:, :n].std(axis=0) + 1e-9
-    z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
-    ridge = np.full(z.shape[1], penalty)
-    ridge[-1] = 1e-6
-    w = np.zeros(z.shape[1])
+def fit(x: list[np.ndarray], y: list[np.ndarray], rounds: int = 30, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a penalised logistic regression by Newton's method, over rows given in blocks.
+
+    FEATURES are scaled, hashed evidence is as it is. A block alone is widened at a time, which bounds the memory.
+    """
+    n, m, rows = len(FEATURES), x[0].shape[1], sum(map(len, y))
+    centre = sum(b.sum(axis=0, dtype=np.float64) for b in x) / rows
+    scale = np.ones(m)
+    scale[:n] = np.sqrt(sum(((b[:, :n] - centre[:n]) ** 2).sum(axis=0) for b in x) / rows) + 1e-9
+    ridge = np.append(np.full(m, penalty), 1e-6)
+    w = np.zeros(m + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
+        slope, curve = -ridge * w, np.diag(ridge)
+        for part, quality in zip(x, y, strict=True):
+            z = np.column_stack([(part - centre) / scale, np.ones(len(part))])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            slope += z.T @ (quality - p)
+            curve += (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+        step = np.linalg.solve(curve, slope)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -125,12 +134,11 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, penalty: float = 1.0) ->
 
 
 def _fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [(np.asarray(b.column(0).values).reshape(b.num_rows, -1), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
-    x, y = (np.concatenate(c) for c in zip(*parts, strict=True))
-    if 0 < y.sum() < len(y):
-        weights, bias = fit(x.astype(np.float64), y)
+    parts = [p for b in batches for p in (b.slice(at, BLOCK) for at in range(0, b.num_rows, BLOCK))]
+    x = [p.column(0).flatten().to_numpy().reshape(p.num_rows, -1) for p in parts]
+    y = [p.column(1).to_numpy() for p in parts]
+    if 0 < sum(q.sum() for q in y) < sum(map(len, y)):
+        weights, bias = fit(x, y)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tolist()], pa.list_(pa.float64())), pa.array([bias], pa.float64())], ["weights", "bias"])
 
 
@@ -146,21 +154,24 @@ def evidence_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     chosen = cut(chosen.select("doc_id", (F.col("quality") > 0).cast("double").alias("quality")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
     once = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "quality", "text")).alias("t")).select("doc_id", "t.quality", "t.text")
-    measured = once.mapInArrow(_measured, "doc_id long, quality double, x array<float>")
-    row = measured.repartition(1).select("x", "quality").mapInArrow(_fitted, "weights array<double>, bias double").first()
+    measured = once.mapInArrow(given_back(_measured), "doc_id long, quality double, x array<float>")
+    row = measured.repartition(1).select("x", "quality").mapInArrow(given_back(_fitted), "weights array<double>, bias double").first()
     return (row.weights, row.bias) if row else ([0.0] * (len(FEATURES) + 2 * CELLS), 0.0)
 
 
-def evidence_of(text: str, weights: list[float], bias: float) -> Column:
-    """The log odds of a text column, from -12 to 12."""
-    w = np.array(weights)
+def with_evidence(docs: DataFrame, text: str, name: str, weights: list[float], bias: float) -> DataFrame:
+    """docs with the log odds of a text column, from -12 to 12, under a new name; rows pass through a batch at a time."""
+    w, at = np.array(weights), docs.columns.index(text)
 
-    @F.pandas_udf("double")
-    def odds(texts: pd.Series) -> pd.Series:
-        found = [vectors([(x or "").encode() for x in texts[at : at + 256]]) @ w + bias for at in range(0, len(texts), 256)]
-        return pd.Series(np.clip(np.concatenate(found), -12.0, 12.0) if found else np.zeros(0))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                # summed row by row, so that equal texts give equal odds wherever they stand
+                odds = (vectors([(x.as_py() or "").encode() for x in part.column(at)]) * w).sum(axis=1) + bias
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(odds, -12.0, 12.0), pa.float64())], [*part.schema.names, name])
 
-    return odds(F.col(text))
+    return docs.mapInArrow(given_back(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def _logit(p: Column) -> Column:
@@ -226,7 +237,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     Sites are summed with map-side combination; their table is broadcast where it is small, else only its hot sites are.
     """
     weights, bias = evidence_model(docs, labels, sample)
-    rows = cut(_placed(docs.select("doc_id", "text", "source", "lang"), SITE).select(F.col("doc_id").cast("long").alias("doc_id"), *SITE, evidence_of("text", weights, bias).alias("evidence")))
+    placed = _placed(docs.select("doc_id", "text", "source", "lang"), SITE).select(F.col("doc_id").cast("long").alias("doc_id"), *SITE, "text")
+    rows = cut(with_evidence(placed, "text", "evidence", weights, bias).drop("text"))
     sites, whole = site_posteriors(rows)
     scored = join_counted(rows, sites, SITE, "n").select("doc_id", "evidence", "site_prior", _probability("evidence", "site_prior", whole).alias("score"))
     return scored.withColumn("kept", F.col("score") >= THRESHOLD if any(weights) else F.lit(True))
@@ -244,8 +256,9 @@ def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     if not any(weights):
         return docs
     names = fresh(docs, *SITE, "evidence", "site_prior", "n")
-    rows = _placed(docs, names[:4]).withColumn(names[4], evidence_of("text", weights, bias))
-    sites, whole = site_posteriors(rows.select(*(F.col(x).alias(y) for x, y in zip(names[:5], [*SITE, "evidence"], strict=True))))
+    rows = with_evidence(_placed(docs, names[:4]), "text", names[4], weights, bias)
+    # the sums of sites take the text and the site alone through the worker
+    sites, whole = site_posteriors(with_evidence(_placed(docs.select("text", "source", "lang"), SITE).select(*SITE, "text"), "text", "evidence", weights, bias).drop("text"))
     renamed = sites.select(*(F.col(x).alias(y) for x, y in zip([*SITE, "site_prior", "n"], [*names[:4], *names[5:]], strict=True)))
     placed = join_counted(rows, renamed, names[:4], names[6])
     return placed.where(_probability(names[4], names[5], whole) >= THRESHOLD).select(*docs.columns)

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import given_back, text_or_empty
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "novel")
@@ -186,7 +186,7 @@ def scan(docs: DataFrame) -> DataFrame:
     an empty table gives none; other columns are not read. Each document is scanned alone, so nothing is shuffled.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return narrow.mapInArrow(_scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return narrow.mapInArrow(given_back(_scanned), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def _redacting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,4 +202,4 @@ def redact(docs: DataFrame) -> DataFrame:
     Each row is judged alone, so repeated rows and rows with one doc_id get what their own texts give. Null and empty texts
     stay as they are; doc_id is not read. An empty table gives an empty one. Texts of any length are taken whole.
     """
-    return docs.mapInArrow(_redacting, docs.schema)
+    return docs.mapInArrow(given_back(_redacting), docs.schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, join_counted, text_or_empty
+from .common import cut, fresh, given_back, join_counted, text_or_empty
 from .components import connected_components
 from .minhash import shingle_hashes
 
@@ -59,7 +59,7 @@ def _identity(docs: DataFrame) -> list[Column]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, h, fp) of documents(doc_id, text); h is the text's hash, fp holds the 64 bits as a signed long. A null text counts as empty."""
-    return docs.select(*_identity(docs), text_or_empty().cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, h long, fp long")
+    return docs.select(*_identity(docs), text_or_empty().cast("binary").alias("text")).mapInArrow(given_back(_fingerprints), "doc_id long, h long, fp long")
 
 
 def pivots() -> np.ndarray:
@@ -187,7 +187,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     within the radius meet in at least one, where the table of their pivot distances discards pairs and the bits of the rest are
     compared. Only a spanning forest of a bucket's links leaves the task, never all pairs.
     """
-    return _buckets(distinct, RADIUS, BLOCKS, BLOCKS - RADIUS).mapInArrow(lambda x: _met(x, RADIUS, spanning_links), "a long, b long").distinct()
+    return _buckets(distinct, RADIUS, BLOCKS, BLOCKS - RADIUS).mapInArrow(given_back(lambda x: _met(x, RADIUS, spanning_links)), "a long, b long").distinct()
 
 
 def wide_links(docs: DataFrame, firsts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -196,14 +196,14 @@ def wide_links(docs: DataFrame, firsts: DataFrame, similarity: float = SIMILARIT
     first and h name the text that stands for a fingerprint, a row of documents; the similarity is the Jaccard similarity of
     5-word shingles. Pairs that no mask shows are missed: none up to 5 bits, about a fifth at 7, half at 9.
     """
-    found = _buckets(firsts.where("first is not null").select("fp"), WIDE, WIDE_BLOCKS, WIDE_AGREE).mapInArrow(lambda x: _met(x, WIDE, _all_pairs), "a long, b long").distinct()
+    found = _buckets(firsts.where("first is not null").select("fp"), WIDE, WIDE_BLOCKS, WIDE_AGREE).mapInArrow(given_back(lambda x: _met(x, WIDE, _all_pairs)), "a long, b long").distinct()
     found = cut(found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > RADIUS))
     ends = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
     named = firsts.join(ends, "fp").select("fp", F.col("first").alias("doc_id"), "h")
     texts = docs.select(*_identity(docs), text_or_empty().cast("binary").alias("text")).join(named, ["doc_id", "h"]).groupBy("fp").agg(F.min("text").alias("text"))
     texts = cut(texts)
     left, right = (texts.select(F.col("fp").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
-    return found.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(lambda x: _similar(x, similarity), "a long, b long")
+    return found.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(given_back(lambda x: _similar(x, similarity)), "a long, b long")
 
 
 def _similar(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
