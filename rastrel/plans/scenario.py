@@ -70,23 +70,27 @@ def _listed(text: str | None) -> list[str]:
 
 
 def read_scene(spark: SparkSession, folder: str, names: dict[str, str] = BANDS) -> tuple[DataFrame, dict]:
-    """(r, c, bands) of a scene's files, one per band, and the grid they share as a dict of geotiff.read_meta.
+    """(r, c, bands) of a scene's files, one per band, and the grid of the first as a dict of geotiff.read_meta.
 
-    The bands meet in one aggregation on (r, c). FileNotFoundError for a band that is missing, ValueError for one that comes
-    twice or lies on another grid.
+    A band on another grid of the same reference system is resampled to it; quality bits cannot be, and must share it. The bands meet in one aggregation on (r, c). FileNotFoundError for a band that is missing, ValueError for
+    one that comes twice, has no transform or another reference system.
     """
     found = {n: geotiff.one_band(spark, folder, end) or geotiff.one_band(spark, folder, end.replace(".TIF", ".tif")) for n, end in names.items()}
     if missing := [names[n] for n, path in found.items() if path is None]:
         raise FileNotFoundError(f"no file below {folder} ends with {missing}")
-    meta = [r.asDict() for path in found.values() for r in geotiff.read_meta(spark, path).drop("file", "nodata", "bands").collect()]
-    if any(m != meta[0] for m in meta) or meta[0]["a"] is None:
-        raise ValueError("bands must lie on one grid with a transform")
+    metas = {n: geotiff.read_meta(spark, path).drop("file", "nodata", "bands").first().asDict() for n, path in found.items()}
+    grid = next(iter(metas.values()))
+    if any(m["a"] is None or m["epsg"] != grid["epsg"] for m in metas.values()) or metas.get("qa", grid) != grid:
+        raise ValueError("bands need a transform and one reference system, and the quality bits the grid of the first band")
     whole = None
     for name, path in found.items():
-        band = geotiff.read_pixels(spark, path).where("band = 0").select("r", "c", F.lit(name).alias("n"), "v")
+        band = geotiff.read_pixels(spark, path).where("band = 0").select("r", "c", "v")
+        if metas[name] != grid:
+            band = raster.resample(band, ["v"], grid_of(metas[name])[0], *grid_of(grid))
+        band = band.select("r", "c", F.lit(name).alias("n"), "v")
         whole = band if whole is None else whole.unionByName(band)
     picked = whole.groupBy("r", "c").agg(*(F.max(F.when(F.col("n") == n, F.col("v"))).alias(n) for n in names))
-    return picked.withColumn("qa", F.col("qa").cast("int")) if "qa" in names else picked, meta[0]
+    return picked.withColumn("qa", F.col("qa").cast("int")) if "qa" in names else picked, grid
 
 
 def grid_of(meta: dict) -> tuple[tuple[float, ...], int, int]:
@@ -157,7 +161,8 @@ def run(spark: SparkSession, config: Scenario) -> tuple[DataFrame, DataFrame]:
     scene, meta = read_scene(spark, config.l2_folder)
     transform, height, width = grid_of(meta)
     layer = read_layer(spark, config.buildings, meta["epsg"], config.lonlat, config.id_field, config.roof_material_field, config.roof_shape_field, config.roof_slope_field)
-    layer.write.mode("overwrite").parquet(f"{out}/layer")
+    # a feature is known by its row, since ids may repeat; the numbers are fixed by being written
+    layer.withColumn("row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{out}/layer")
     layer = spark.read.parquet(f"{out}/layer")
     chosen = select.subset(
         layer, material=(config.roof_material_field, _listed(config.roof_materials_type)) if _listed(config.roof_materials_type) else None,
@@ -174,7 +179,7 @@ def run(spark: SparkSession, config: Scenario) -> tuple[DataFrame, DataFrame]:
     targets = {"ndvi": config.target_ndvi, "albedo": config.target_albedo, "ndbi": config.target_ndbi}
     if config.target_ndvi is None:
         targets["ndvi"] = model.green_target(pixels).first().target
-    rows = model.split(sampled(pixels, config.sample_frac, config.min_sample_spacing, math.sqrt(abs(transform[0] * transform[4])), config.random_state), 0.8, config.random_state)
+    rows = model.split(sampled(pixels, config.sample_frac, config.min_sample_spacing, math.sqrt(abs(transform[0] * transform[4] - transform[1] * transform[3])), config.random_state), 0.8, config.random_state)
     train = rows.where("part = 'train'")
     fitted = model.fit_linear(train) if config.model == "linear" else model.fit_forest(train, trees=config.trees, seed=config.random_state)
     config.metrics = model.quality(model.with_prediction(rows, fitted))
@@ -182,10 +187,10 @@ def run(spark: SparkSession, config: Scenario) -> tuple[DataFrame, DataFrame]:
     changed = (model.scenario if config.model == "linear" else model.forest_scenario)(pixels, share, targets, fitted, config.clip_positive_delta)
     changed.write.mode("overwrite").parquet(f"{out}/pixels")
     changed = spark.read.parquet(f"{out}/pixels")
-    means = rasterize.zonal(changed.select("r", "c", "lst", "delta"), layer.select("id", "polygons"), transform, height, width, all_touched=True)
-    means = means.groupBy("id").agg(F.avg("lst").alias("lst_baseline_mean"), F.avg("delta").alias("delta_mean"))
-    flags = chosen.select("id").distinct().withColumn("selected_for_greening", F.lit(True))
-    buildings = layer.join(means, "id", "left").join(flags, "id", "left").withColumn("selected_for_greening", F.coalesce("selected_for_greening", F.lit(False)))
+    means = rasterize.zonal(changed.select("r", "c", "lst", "delta"), layer.select("row", "polygons"), transform, height, width, all_touched=True)
+    means = means.groupBy("row").agg(F.avg("lst").alias("lst_baseline_mean"), F.avg("delta").alias("delta_mean"))
+    flags = chosen.select("row").withColumn("selected_for_greening", F.lit(True))
+    buildings = layer.join(means, "row", "left").join(flags, "row", "left").drop("row").withColumn("selected_for_greening", F.coalesce("selected_for_greening", F.lit(False)))
     buildings = buildings.withColumn("cooling_mean", -F.col("delta_mean"))
     buildings.write.mode("overwrite").parquet(f"{out}/buildings")
     buildings = spark.read.parquet(f"{out}/buildings")

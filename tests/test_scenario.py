@@ -71,3 +71,38 @@ def test_projection_of_a_layer(spark):
     assert south.y - north.y == pytest.approx(10_000_000) and north.y < 0 and south.x == pytest.approx(500000)
     with pytest.raises(ValueError):
         scenario.projected(rows, 2154, True)
+
+
+def test_bands_on_another_grid_are_resampled(spark, inputs, tmp_path):
+    import shutil
+
+    folder = tmp_path / "l2"
+    shutil.copytree(inputs / "l2", folder)
+    # a plane on a grid of half pixels, shifted by a quarter: bilinear values of the first grid are exact
+    fine = (15.0, 0.0, AT[2] + 3.75, 0.0, -15.0, AT[5] - 3.75)
+    plane = np.fromfunction(lambda r, c, b: 10 * c + 4 * r, (80, 100, 1))
+    (folder / f"scene{scenario.BANDS['b5']}").write_bytes(geotiff.encode(plane.astype("float32"), fine, 32632, None))
+    pixels, meta = scenario.read_scene(spark, str(folder))
+    assert (meta["width"], meta["a"]) == (50, 30.0)
+    for row in pixels.where("r between 1 and 38 and c between 1 and 48").collect():
+        x, y = (row.c + 0.5) * 30 - 3.75, (row.r + 0.5) * 30 - 3.75
+        assert row.b5 == pytest.approx(10 * (x / 15 - 0.5) + 4 * (y / 15 - 0.5), abs=1e-5)
+
+
+def test_buildings_with_one_id_keep_their_own_means(spark, inputs, tmp_path):
+    layer = json.loads((inputs / "buildings.geojson").read_text())
+    for feature in layer["features"]:
+        feature["properties"]["gml_id"] = "same"
+    (tmp_path / "same.geojson").write_text(json.dumps(layer))
+    config = scenario.Scenario(str(inputs / "l2"), str(tmp_path / "same.geojson"), str(tmp_path / "out"), "material", "tar_paper", lonlat=False, model="linear", min_sample_spacing=0.0, sample_frac=1.0, target_ndvi=0.9)
+    rows = scenario.run(spark, config)[1].collect()
+    assert len(rows) == 30 and sum(r.selected_for_greening for r in rows) == 15 and len({r.lst_baseline_mean for r in rows}) > 25
+
+
+def test_resampling_skips_missing_pixels(spark):
+    from rastrel.operators import raster
+
+    rows = [(0, 0, 1.0), (0, 1, None), (1, 0, 3.0), (1, 1, 7.0)]
+    pixels = spark.createDataFrame(rows, "r int, c int, v double")
+    half = {(x.r, x.c): x.v for x in raster.resample(pixels, ["v"], (2.0, 0.0, 0.0, 0.0, 2.0, 0.0), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), 4, 4).collect()}
+    assert half[0, 0] == 1 and half[3, 3] == 7 and half[0, 3] is None and half[1, 1] == pytest.approx((9 * 1 + 3 * 3 + 7) / 13)
