@@ -18,10 +18,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies: fingerprints up to 3 bits apart, or up to 9 with verified 5-word shingles.
+    """One row of each component of near copies, whose fingerprints link at 3 bits or fewer.
 
     The smallest (doc_id, fingerprint, text hash) stays; rows without a doc_id all stay; see one_of_each for ties, repeated rows and empty texts."""
-    return simhash.one_of_each(docs, wide=True)
+    return simhash.one_of_each(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
