@@ -38,7 +38,7 @@ def box_sums(values: np.ndarray, short: int, long: int) -> np.ndarray:
 
 
 def smoothed(classes: np.ndarray, mask: np.ndarray, long: int = 45, short: int = 5) -> np.ndarray:
-    """Each masked pixel's most frequent class in a box along the mask's main axis, the lowest of equals; -1 outside."""
+    """Each masked pixel's most frequent class in a box along the mask's main axis, the lowest of equals; -1 outside and where turning leaves the frame."""
     angle = main_angle(mask)
     level, level_mask = turned(classes, angle, -1), turned(mask.astype(int), angle, 0)
     if not (level >= 0).any():
