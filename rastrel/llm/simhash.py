@@ -154,13 +154,8 @@ def _met(batches: Iterable[pa.RecordBatch], radius: int, larger) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
 
-def _all_pairs(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    members = in_pivot_order(members)
-    return [(int(members[i]), int(members[j])) for i, near in near_pairs(members, radius) for j in near.tolist()]
-
-
-def _buckets(distinct: DataFrame, radius: int, blocks: int, agree: int) -> DataFrame:
-    """members, the lists of fingerprints of distinct(fp) that meet: under one mask, and in a large bucket in a cell of pivot distances too.
+def _placed(distinct: DataFrame, radius: int, blocks: int, agree: int) -> DataFrame:
+    """Rows of distinct(fp, ...) once for each bucket t, key, cell, i, j where fingerprints meet: under one mask, and in a large bucket in a cell of pivot distances too.
 
     A bucket of more than BUCKET members is cut into cells one wider than the radius over the distances to two pivots; no
     linked pair lies more than one cell apart in either, so each member stands in its own cell and the next ones, and
@@ -168,16 +163,22 @@ def _buckets(distinct: DataFrame, radius: int, blocks: int, agree: int) -> DataF
     two of which meet, so no task holds an unbounded bucket and none is capped.
     """
     masks = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(_masks(blocks, agree))))
-    keyed = distinct.select("fp", F.explode(masks).alias("x")).select("fp", "x.t", "x.key")
+    keyed = distinct.select("*", F.explode(masks).alias("x")).select(*distinct.columns, "x.t", "x.key")
     sizes = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
     met = keyed.join(sizes, ["t", "key"])
     far = [F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(p))))) / (radius + 1)).cast("int") for p in pivots()[1:3]]
     cells = F.array(*(F.struct((far[0] + x).alias("x"), (far[1] + y).alias("y")) for x in (0, 1) for y in (0, 1)))
     met = met.withColumn("cell", F.explode(F.when(F.col("n") > BUCKET, cells).otherwise(F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))))))
-    met = met.withColumn("chunks", F.ceil(F.col("n") / (8 * BUCKET)).cast("int"))
-    met = met.withColumn("c", F.pmod(F.xxhash64("fp"), "chunks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    lists = met.groupBy("t", "key", "cell", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")).agg(F.collect_list("fp").alias("members"))
-    return lists.where("size(members) > 1").select("members")
+    return _chunked(met, F.ceil(F.col("n") / (8 * BUCKET)).cast("int"))
+
+
+def _chunked(met: DataFrame, chunks: Column) -> DataFrame:
+    """Rows of a bucket dealt by the hash of fp to so many chunks, once for each two chunks i <= j that meet."""
+    met = met.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("fp"), "chunks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return met.withColumns({"i": F.least("c", "o"), "j": F.greatest("c", "o")}).drop("chunks", "c", "o")
+
+
+_PLACE = ("t", "key", "cell", "i", "j")
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
@@ -187,33 +188,128 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     within the radius meet in at least one, where the table of their pivot distances discards pairs and the bits of the rest are
     compared. Only a spanning forest of a bucket's links leaves the task, never all pairs.
     """
-    return _buckets(distinct, RADIUS, BLOCKS, BLOCKS - RADIUS).mapInArrow(given_back(lambda x: _met(x, RADIUS, spanning_links)), "a long, b long").distinct()
+    lists = _placed(distinct, RADIUS, BLOCKS, BLOCKS - RADIUS).groupBy(*_PLACE).agg(F.collect_list("fp").alias("members"))
+    return lists.where("size(members) > 1").select("members").mapInArrow(given_back(lambda x: _met(x, RADIUS, spanning_links)), "a long, b long").distinct()
+
+
+def first_masks(apart: np.ndarray, blocks: int = WIDE_BLOCKS, agree: int = WIDE_AGREE) -> np.ndarray:
+    """The place among _masks of the first mask under which fingerprints agree that differ in the bits `apart`; -1 if none."""
+    places = np.full(1 << blocks, -1)
+    for i, runs in enumerate(combinations(range(blocks), agree)):
+        places[sum(1 << x for x in runs)] = i
+    same = np.stack([apart & np.uint64(run) == 0 for run in _masks(blocks, 1)], axis=1)
+    return places[(same & (np.cumsum(same, axis=1) <= agree)) @ (1 << np.arange(blocks))]
+
+
+def foreign_pairs(marks: np.ndarray, roots: np.ndarray, mask: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each place in marks with those of other roots up to WIDE bits away whose first common mask is the given one."""
+    order = np.argsort(np.bitwise_count(marks ^ pivots()[0]), kind="stable")
+    for i, near in near_pairs(marks[order], WIDE):
+        i, near = order[i], order[near]
+        near = near[roots[near] != roots[i]]
+        near = near[first_masks(marks[near] ^ marks[i]) == mask]
+        if len(near):
+            yield int(i), near
 
 
-def wide_links(docs: DataFrame, firsts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): fingerprints of firsts(fp, first, h) more than RADIUS and up to WIDE bits apart whose texts are similar enough.
+def _suspects(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, t, fp, root) of the members of each bucket that foreign_pairs names, each once a bucket."""
+    for batch in batches:
+        place, mask = (batch.column(x).to_numpy(zero_copy_only=False) for x in (0, 1))
+        starts = batch.column(2).offsets.to_numpy().astype(np.int64)
+        marks, roots = (batch.column(x).values.to_numpy() for x in (2, 3))
+        sizes, found, owner = np.diff(starts), [], []
+        two = np.flatnonzero(sizes == 2)
+        at = starts[:-1][two]
+        a, b = (marks[x].view(np.uint64) for x in (at, at + 1))
+        stay = survivors(distances(a), distances(b), WIDE) & (np.bitwise_count(a ^ b) <= WIDE) & (roots[at] != roots[at + 1]) & (first_masks(a ^ b) == mask[two])
+        for shift in (0, 1):
+            found.append(at[stay] + shift)
+            owner.append(two[stay])
+        for k in np.flatnonzero(sizes > 2).tolist():
+            part = slice(starts[k], starts[k + 1])
+            met = [np.append(near, i) for i, near in foreign_pairs(marks[part].view(np.uint64), roots[part], mask[k])]
+            if met:
+                met = np.unique(np.concatenate(met))
+                found.append(starts[k] + met)
+                owner.append(np.full(len(met), k))
+        found, owner = np.concatenate(found), np.concatenate(owner)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (place[owner], mask[owner], marks[found], roots[found])], ["place", "t", "fp", "root"])
+
+
+def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(shingle_hashes([x.as_py()])[0]).tobytes() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "shingles"])
 
-    first and h name the text that stands for a fingerprint, a row of documents; the similarity is the Jaccard similarity of
-    5-word shingles. Pairs that no mask shows are missed: none up to 5 bits, about a fifth at 7, half at 9.
-    """
-    found = _buckets(firsts.where("first is not null").select("fp"), WIDE, WIDE_BLOCKS, WIDE_AGREE).mapInArrow(given_back(lambda x: _met(x, WIDE, _all_pairs)), "a long, b long").distinct()
-    found = cut(found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > RADIUS))
-    ends = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
-    named = firsts.join(ends, "fp").select("fp", F.col("first").alias("doc_id"), "h")
-    texts = docs.select(*_identity(docs), text_or_empty().cast("binary").alias("text")).join(named, ["doc_id", "h"]).groupBy("fp").agg(F.min("text").alias("text"))
-    texts = cut(texts)
-    left, right = (texts.select(F.col("fp").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
-    return found.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(given_back(lambda x: _similar(x, similarity)), "a long, b long")
+
+def similar_roots(marks: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], mask: int, least: float) -> list[tuple[int, int]]:
+    """Links between the roots of one bucket, a spanning forest of those that foreign_pairs with similar enough sets make."""
+    parent, links = {int(x): int(x) for x in roots}, []
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, near in foreign_pairs(marks, roots, mask):
+        for j in near.tolist():
+            a, b = top(int(roots[i])), top(int(roots[j]))
+            few, many = sorted((len(sets[i]), len(sets[j])))
+            if a == b or few < least * many:
+                continue
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if shared >= least * max(1, few + many - shared):
+                parent[b] = a
+                links.append((int(roots[i]), int(roots[j])))
+    return links
 
 
 def _similar(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (place, i, j, t, fp, root, shingles) come sorted by bucket, of which one is held at a time."""
+
+    def linked(held: list[tuple]) -> pa.RecordBatch:
+        marks, roots = (np.array([x[k] for x in held], np.int64) for k in (1, 2))
+        links = similar_roots(marks.view(np.uint64), roots, [np.frombuffer(x[3], np.uint64) for x in held], held[0][0], least)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    last, held = None, []
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = (np.unique(shingle_hashes([x.as_py()])[0]) for x in (a, b))
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(shared >= least * max(1, len(a) + len(b) - shared))
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for *bucket, t, fp, root, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != last and len(held) > 1:
+                yield linked(held)
+            if bucket != last:
+                last, held = bucket, []
+            held.append((t, fp, root, shingles))
+    if len(held) > 1:
+        yield linked(held)
+
+
+#: Bytes of shingle sets of one bucket that a task holds at once; larger buckets are cut into chunks that meet two at a time.
+HELD = 32 << 20
+
+
+def wide_links(docs: DataFrame, named: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links between roots of named(fp, root, first, h) with fingerprints up to WIDE bits apart whose texts are similar enough.
+
+    first and h name the text that stands for a fingerprint, a row of documents; the similarity is the Jaccard similarity of
+    5-word shingles. Pairs that no mask shows are missed: none up to 5 bits, about a fifth at 7, half at 9.
+
+    A first pass over the buckets names the members that have a candidate of another root, each pair under its first mask alone;
+    only these take their shingle sets to their bucket, where pairs are verified until one forest joins all that are alike. So what leaves a
+    task is at most the members of its buckets, never their pairs.
+    """
+    placed = _placed(named.where("first is not null").select("fp", "root"), WIDE, WIDE_BLOCKS, WIDE_AGREE)
+    lists = placed.groupBy(*_PLACE).agg(F.collect_list(F.struct("fp", "root")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    lists = lists.select(F.xxhash64(*_PLACE).alias("place"), "t", F.col("m.fp").alias("fps"), F.col("m.root").alias("roots"))
+    found = cut(lists.mapInArrow(given_back(_suspects), "place long, t int, fp long, root long"))
+    ends = named.join(found.select("fp").distinct(), "fp").select("fp", F.col("first").alias("doc_id"), "h")
+    texts = docs.select(*_identity(docs), text_or_empty().cast("binary").alias("text")).join(ends, ["doc_id", "h"]).groupBy("fp").agg(F.min("text").alias("text"))
+    sets = cut(texts.mapInArrow(given_back(_shingle_sets), "fp long, shingles binary"))
+    weights = cut(found.join(sets.select("fp", F.length("shingles").alias("bytes")), "fp").groupBy("place").agg(F.sum("bytes").alias("bytes")))
+    rows = _chunked(found.join(weights, "place"), F.greatest(F.lit(1), F.ceil(F.col("bytes") / HELD)).cast("int"))
+    rows = rows.join(sets, "fp").select("place", "i", "j", "t", "fp", "root", "shingles").repartition("place", "i", "j").sortWithinPartitions("place", "i", "j")
+    return rows.mapInArrow(given_back(lambda x: _similar(x, similarity)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -230,13 +326,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _rooted(docs: DataFrame, wide: bool = False) -> DataFrame:
     """near_duplicates with h, the text's hash, and root, which tells components apart whose smallest doc_id is the same.
 
-    With wide, wide_links join components too.
+    With wide, wide_links join these components further.
     """
     marked = cut(fingerprints(docs))
     firsts = cut(marked.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("x"), F.count("*").alias("n")).select("fp", F.col("x.doc_id").alias("first"), F.col("x.h").alias("h"), "n"))
-    links = fingerprint_links(firsts.select("fp"))
-    roots = connected_components(links.union(wide_links(docs, firsts)) if wide else links)
-    named = cut(firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    roots = connected_components(fingerprint_links(firsts.select("fp")))
+    named = cut(firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", "h", "n", F.coalesce("root", "fp").alias("root")))
+    if wide:
+        tops = connected_components(wide_links(docs, named)).withColumnRenamed("root", "top")
+        named = cut(named.join(tops, named.root == tops.node, "left").select("fp", "first", "n", F.coalesce("top", "root").alias("root")))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     names = cut(named.join(least, "root").select("fp", "component_id", "root", "n"))
     return join_counted(marked, names, ["fp"], "n")

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -83,6 +84,38 @@ def test_wide_links_are_verified(spark):
     assert sorted(kept) == sorted(set(found.values()))
 
 
+def test_wide_links_in_chunks_are_a_forest(spark, monkeypatch):
+    """Many near copies of one text: chunks change no component, and components hold every similar pair of up to 5 bits."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        words = texts(1, 150, 6)[0].split()
+        for _ in range(rng.choice((1, 2))):
+            words[rng.randrange(150)] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [{r.doc_id: r.component_id for r in simhash._rooted(docs, wide=True).collect()}]
+    monkeypatch.setattr(simhash, "HELD", 60_000)
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    found.append({r.doc_id: r.component_id for r in simhash._rooted(docs, wide=True).collect()})
+    assert found[0] == found[1]
+    narrow = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert len(set(found[0].values())) < len(set(narrow.values()))
+    marks = {i: brute.simhash(t) for i, t in rows}
+    for (i, t), (j, u) in combinations(rows[:120], 2):
+        if (marks[i] ^ marks[j]).bit_count() <= 5 and brute.jaccard(t, u) >= 0.8:
+            assert found[0][i] == found[0][j]
+    assert all(found[0][i] == found[0][x] for i, x in narrow.items())
+
+
+def test_first_masks():
+    rng = random.Random(4)
+    masks = simhash._masks(simhash.WIDE_BLOCKS, simhash.WIDE_AGREE)
+    apart = [rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64) for _ in range(2000)] + [0, 2**64 - 1]
+    plain = [next((i for i, m in enumerate(masks) if x & m == 0), -1) for x in apart]
+    assert simhash.first_masks(np.array(apart, np.uint64)).tolist() == plain
+
+
 def test_stages_keep_names_and_rows(spark, odd):
     labels = spark.createDataFrame([(1, 0), (6, 1), (9, 0), (11, 1)], "doc_id long, quality int")
     for found in (simhash.one_of_each(odd, wide=True), quality.kept_documents(odd, labels), mixing.mixed(odd), secrets.redact(odd)):
