@@ -18,10 +18,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies, whose fingerprints link at 3 bits or fewer.
+    """One row of each component of near copies, whose fingerprints link at 3 bits or fewer, or are up to 9 bits apart with 5-word shingles verified to be 0.8 alike.
 
     The smallest (doc_id, fingerprint, text hash) stays; rows without a doc_id all stay; see one_of_each for ties, repeated rows and empty texts."""
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, wide=True)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
