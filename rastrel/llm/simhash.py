@@ -332,11 +332,16 @@ def _rooted(docs: DataFrame, wide: bool = False) -> DataFrame:
     firsts = cut(marked.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("x"), F.count("*").alias("n")).select("fp", F.col("x.doc_id").alias("first"), F.col("x.h").alias("h"), "n"))
     roots = connected_components(fingerprint_links(firsts.select("fp")))
     named = cut(firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", "h", "n", F.coalesce("root", "fp").alias("root")))
+    # a component may hold most fingerprints, so rows meet their root's row by a salted join
+    per = cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("m")))
     if wide:
         tops = connected_components(wide_links(docs, named)).withColumnRenamed("root", "top")
-        named = cut(named.join(tops, named.root == tops.node, "left").select("fp", "first", "n", F.coalesce("top", "root").alias("root")))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = cut(named.join(least, "root").select("fp", "component_id", "root", "n"))
+        per = cut(per.join(tops, per.root == tops.node, "left").select("root", F.coalesce("top", "root").alias("top"), "component_id", "m"))
+        least = cut(per.groupBy("top").agg(F.min("component_id").alias("least"), F.count("*").alias("k")))
+        per = cut(join_counted(per, least, ["top"], "k").select("root", "top", F.col("least").alias("component_id"), "m"))
+    else:
+        per = per.withColumn("top", F.col("root"))
+    names = cut(join_counted(named.select("fp", "root", "n"), per, ["root"], "m").select("fp", "component_id", F.col("top").alias("root"), "n"))
     return join_counted(marked, names, ["fp"], "n")
 
 
