@@ -49,11 +49,15 @@ class Scenario:
     min_roof_area: float = 0.0
     clip_positive_delta: bool = False
     tiles: bool = False
+    lst: str | None = None
+    build_lst: bool | None = None
+    layer: str | None = None
     metrics: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         wrong = {
             "a roof material, shape or slope is required": not (_listed(self.roof_materials_type) or _listed(self.roof_shape_type) or self.max_roof_slope_deg is not None),
+            "a temperature raster is needed where none is built": self.build_lst is False and not self.lst,
             "lst_unit must be celsius or kelvin": self.lst_unit not in ("celsius", "kelvin"),
             "model must be linear or rf": self.model not in ("linear", "rf"),
             "sample_frac must be above 0 and at most 1": not 0 < self.sample_frac <= 1,
@@ -69,8 +73,8 @@ def _listed(text: str | None) -> list[str]:
     return [x.strip().lower() for x in (text or "").split(",") if x.strip()]
 
 
-def read_scene(spark: SparkSession, folder: str, names: dict[str, str] = BANDS) -> tuple[DataFrame, dict]:
-    """(r, c, bands) of a scene's files, one per band, and the grid of the first as a dict of geotiff.read_meta.
+def read_scene(spark: SparkSession, folder: str, names: dict[str, str] = BANDS, grid: dict | None = None) -> tuple[DataFrame, dict]:
+    """(r, c, bands) of a scene's files, one per band, and the grid, given or that of the first band, as a dict of geotiff.read_meta.
 
     A band on another grid of the same reference system is resampled to it; quality bits cannot be, and must share it. The bands meet in one aggregation on (r, c). FileNotFoundError for a band that is missing, ValueError for
     one that comes twice, has no transform or another reference system.
@@ -78,8 +82,8 @@ def read_scene(spark: SparkSession, folder: str, names: dict[str, str] = BANDS)
     found = {n: geotiff.one_band(spark, folder, end) or geotiff.one_band(spark, folder, end.replace(".TIF", ".tif")) for n, end in names.items()}
     if missing := [names[n] for n, path in found.items() if path is None]:
         raise FileNotFoundError(f"no file below {folder} ends with {missing}")
-    metas = {n: geotiff.read_meta(spark, path).drop("file", "nodata", "bands").first().asDict() for n, path in found.items()}
-    grid = next(iter(metas.values()))
+    metas = {n: meta_of(spark, path) for n, path in found.items()}
+    grid = grid or next(iter(metas.values()))
     if any(m["a"] is None or m["epsg"] != grid["epsg"] for m in metas.values()) or metas.get("qa", grid) != grid:
         raise ValueError("bands need a transform and one reference system, and the quality bits the grid of the first band")
     whole = None
@@ -93,6 +97,22 @@ def read_scene(spark: SparkSession, folder: str, names: dict[str, str] = BANDS)
     return picked.withColumn("qa", F.col("qa").cast("int")) if "qa" in names else picked, grid
 
 
+def meta_of(spark: SparkSession, path: str) -> dict:
+    """Size, reference system and transform of one raster."""
+    return geotiff.read_meta(spark, path).drop("file", "nodata", "bands").first().asDict()
+
+
+def baseline(spark: SparkSession, config: Scenario) -> tuple[DataFrame, dict]:
+    """(r, c, lst, indices) and the grid: the temperature is built from the scene, or it is a ready raster, to whose grid the scene's bands are resampled."""
+    if config.build_lst or not config.lst:
+        scene, meta = read_scene(spark, config.l2_folder)
+        return raster.indices(raster.surface_temperature(scene, config.keep_lst_water, config.lst_unit == "celsius")), meta
+    meta = meta_of(spark, config.lst)
+    bands, _ = read_scene(spark, config.l2_folder, {n: end for n, end in BANDS.items() if n not in ("st", "qa")}, meta)
+    ready = geotiff.read_pixels(spark, config.lst).where("band = 0").select("r", "c", F.col("v").alias("lst"))
+    return raster.indices(ready.join(bands, ["r", "c"], "left")), meta
+
+
 def grid_of(meta: dict) -> tuple[tuple[float, ...], int, int]:
     """Transform, height and width."""
     return tuple(meta[k] for k in "abcdef"), meta["height"], meta["width"]
@@ -115,16 +135,16 @@ def projected(features: DataFrame, epsg: int | None, lonlat: bool) -> DataFrame:
     return features.withColumn("polygons", scalars.moved("polygons", move))
 
 
-def features(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ordinal, properties, polygons) of a GeoPackage's first layer, or of GeoJSON collections."""
+def features(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
+    """(file, ordinal, properties, polygons) of a GeoPackage's layer, the first if none is named, or of GeoJSON collections."""
     if path.lower().endswith(".gpkg"):
-        return geopackage.read_layer(spark, path).select("file", F.col("fid").alias("ordinal"), "properties", "polygons")
+        return geopackage.read_layer(spark, path, layer).select("file", F.col("fid").alias("ordinal"), "properties", "polygons")
     return files.read_geojson(spark, path)
 
 
-def read_layer(spark: SparkSession, path: str, epsg: int | None, lonlat: bool, id_field: str, *fields: str | None) -> DataFrame:
+def read_layer(spark: SparkSession, path: str, epsg: int | None, lonlat: bool, id_field: str, *fields: str | None, layer: str | None = None) -> DataFrame:
     """(id, fields, polygons, roof_area_m2) of polygons of area above 0; ids are the property, else file and place."""
-    rows = projected(features(spark, path), epsg, lonlat)
+    rows = projected(features(spark, path, layer), epsg, lonlat)
     ident = F.coalesce(F.col("properties").getItem(id_field), F.concat_ws("#", "file", "ordinal"))
     rows = rows.select(ident.alias("id"), *(F.col("properties").getItem(x).alias(x) for x in dict.fromkeys(filter(None, fields))), "polygons")
     return rows.withColumn("roof_area_m2", scalars.polygons_area("polygons")).where("roof_area_m2 > 0")
@@ -158,9 +178,9 @@ def run(spark: SparkSession, config: Scenario) -> tuple[DataFrame, DataFrame]:
     """Pixels (r, c, lst, indices, fraction, delta, scenario) and buildings (id, ..., lst_baseline_mean, delta_mean, cooling_mean,
     selected_for_greening, polygons), written with reports below config.out_dir and read again."""
     out = config.out_dir.rstrip("/")
-    scene, meta = read_scene(spark, config.l2_folder)
+    pixels, meta = baseline(spark, config)
     transform, height, width = grid_of(meta)
-    layer = read_layer(spark, config.buildings, meta["epsg"], config.lonlat, config.id_field, config.roof_material_field, config.roof_shape_field, config.roof_slope_field)
+    layer = read_layer(spark, config.buildings, meta["epsg"], config.lonlat, config.id_field, config.roof_material_field, config.roof_shape_field, config.roof_slope_field, layer=config.layer)
     # a feature is known by its row, since ids may repeat; the numbers are fixed by being written
     layer.withColumn("row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{out}/layer")
     layer = spark.read.parquet(f"{out}/layer")
@@ -171,7 +191,6 @@ def run(spark: SparkSession, config: Scenario) -> tuple[DataFrame, DataFrame]:
     ).where(F.col("roof_area_m2") >= config.min_roof_area)
     if chosen.isEmpty():
         raise ValueError("no buildings match")
-    pixels = raster.indices(raster.surface_temperature(scene, config.keep_lst_water, config.lst_unit == "celsius"))
     pixels = within(pixels, spark, meta, layer, config.boundary, config.lonlat)
     pixels = pixels.select("r", "c", "lst", *(F.when(F.col("lst").isNotNull(), F.col(x)).alias(x) for x in PARAMETERS))
     pixels.write.mode("overwrite").parquet(f"{out}/baseline")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,24 @@ def read_class_labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file"), stem.alias("stem"), F.split(F.trim("value"), r"\s+")[0].try_cast("int").alias("class_id"))
 
 
+def read_class_names(spark: SparkSession, path: str) -> DataFrame:
+    """(class_id, name) of the `names` of one YAML file, a list or numbers with names, in one line or in several; numbers are closed up in order."""
+    text = spark.read.text(path, wholetext=True).first().value
+    found = re.search(r"^names:[ \t]*(.*(?:\n(?:[ \t]+.*|-.*|[ \t]*))*)", text, re.M)
+    if not found:
+        raise ValueError(f"{path} has no names")
+    body = re.sub(r"(^|\s)#.*", "", found[1]).strip()
+    parts = re.split(r"[,\n]", body.strip("[]{}"))
+    parts = [re.fullmatch(r"(?:-\s+|(\d+)\s*:\s*)?(.*)", x.strip()) for x in parts if x.strip()]
+    rows = [(int(x[1]) if x[1] else i, x[2].strip().strip("'\"")) for i, x in enumerate(parts)]
+    return spark.createDataFrame([(i, name) for i, (_, name) in enumerate(sorted(rows, key=lambda x: x[0]))], "class_id int, name string")
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*.{tif,tiff,png,jpg,jpeg}") -> DataFrame:
+    """(file) of the files below path, at any depth, whose contents are not read; Spark leaves out files of no bytes."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("file"))
+
+
 def read_manifest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV manifest with a header; all columns are strings unless a schema says otherwise."""
     return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=False)

@@ -106,3 +106,25 @@ def test_resampling_skips_missing_pixels(spark):
     pixels = spark.createDataFrame(rows, "r int, c int, v double")
     half = {(x.r, x.c): x.v for x in raster.resample(pixels, ["v"], (2.0, 0.0, 0.0, 0.0, 2.0, 0.0), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), 4, 4).collect()}
     assert half[0, 0] == 1 and half[3, 3] == 7 and half[0, 3] is None and half[1, 1] == pytest.approx((9 * 1 + 3 * 3 + 7) / 13)
+
+
+def test_ready_temperature_and_named_layer(spark, inputs, tmp_path):
+    import pyarrow as pa
+
+    from rastrel.sources import geopackage
+
+    features = json.loads((inputs / "buildings.geojson").read_text())["features"]
+    rows = [{"gml_id": f["properties"]["gml_id"], "material": f["properties"]["material"], "polygons": [[[{"x": x, "y": y} for x, y in ring] for ring in f["geometry"]["coordinates"]]]} for f in features]
+    (tmp_path / "b.gpkg").write_bytes(geopackage.encode(pa.Table.from_pylist(rows), "roofs", 32632))
+    ready = np.fromfunction(lambda r, c, b: 20 + r * 0.1 + c * 0.05, (40, 50, 1)).astype("float32")
+    ready[5, 5] = np.nan
+    (tmp_path / "lst.tif").write_bytes(geotiff.encode(ready, AT, 32632, np.nan))
+    given = ["scenario", "--l2_folder", str(inputs / "l2"), "--buildings", str(tmp_path / "b.gpkg"), "--layer", "roofs", "--lst", str(tmp_path / "lst.tif"), "--out_dir", str(tmp_path / "out"), "--roof_material_field", "material", "--roof_materials_type", "tar_paper", "--no-lonlat", "--model", "linear", "--min_sample_spacing", "0", "--sample_frac", "1"]
+    command.main(given)
+    pixels = {(x.r, x.c): x for x in spark.read.parquet(str(tmp_path / "out" / "pixels")).collect()}
+    assert all(x.lst == pytest.approx(float(ready[k[0], k[1], 0])) for k, x in pixels.items() if x.lst is not None) and pixels[5, 5].lst is None and pixels[5, 5].ndvi is None
+    built = scenario.Scenario(str(inputs / "l2"), "b", roof_materials_type="a")
+    plain = {(x.r, x.c): x.ndvi for x in scenario.baseline(spark, built)[0].collect()}
+    assert all(x.ndvi == pytest.approx(plain[k]) for k, x in pixels.items() if x.ndvi is not None and plain[k] is not None)
+    with pytest.raises(ValueError, match="temperature raster"):
+        scenario.Scenario("a", "b", roof_materials_type="a", build_lst=False)
