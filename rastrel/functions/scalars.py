@@ -95,6 +95,18 @@ def ring_holds(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.transform(ring, crosses), F.lit(0), lambda a, v: a + v) % 2 == 1
 
 
+def ring_touches(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies on an edge or a corner of a ring of struct<x, y>, closed or not."""
+    n = F.size(ring)
+
+    def meets(p: Column, i: Column) -> Column:
+        q = F.get(ring, (i + 1) % n)
+        side = (x - p["x"]) * (q["y"] - p["y"]) - (q["x"] - p["x"]) * (y - p["y"])
+        return (side == 0) & x.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+
+    return F.coalesce(F.exists(F.transform(ring, meets), lambda v: v), F.lit(False))
+
+
 def utm_zone(lon: Column | str) -> Column:
     """The UTM zone, 1 to 60, of a longitude."""
     return F.least(F.lit(60), F.floor((_col(lon) + 180) / 6).cast("int") + 1)

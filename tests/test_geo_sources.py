@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastrel.functions import scalars
+from rastrel.operators import spatial
 from rastrel.sources import citygml, osm
 
 
@@ -94,3 +95,12 @@ def test_ring_holds(spark):
     ring_sql = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 4D, 'y', 0D), named_struct('x', 4D, 'y', 4D), named_struct('x', 2D, 'y', 1D), named_struct('x', 0D, 'y', 4D))"
     rows = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (3.9, 3.0), (5.0, 1.0), (-1.0, 0.5)], "px double, py double").withColumn("ring", F.expr(ring_sql))
     assert [r[0] for r in rows.select(scalars.ring_holds(F.col("ring"), F.col("px"), F.col("py"))).collect()] == [True, False, True, False, False]
+
+
+def test_points_on_edges_are_outside(spark):
+    """A point on an edge or a corner, of the exterior or of a hole, is not within, as on the edges of a box."""
+    zone = "array(array({}, {}))".format(*("array(" + ", ".join(f"named_struct('x', {x}D, 'y', {y}D)" for x, y in ring) + ")" for ring in (((0, 0), (8, 0), (8, 8), (0, 8)), ((2, 2), (4, 2), (4, 4), (2, 4)))))
+    zones = spark.range(5, 6).withColumn("polygons", F.expr(zone))
+    places = {1: (1, 1), 2: (0, 0), 3: (0, 4), 4: (4, 0), 5: (8, 4), 6: (8, 8), 7: (2, 3), 8: (3, 2), 9: (4, 4), 10: (3, 3), 11: (5, 4), 12: (0, 8)}
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in places.items()], "id long, x double, y double")
+    assert {r.id for r in spatial.points_within(points, zones, 3.0).where("zone_id = 5").collect()} == {1, 11}
