@@ -82,9 +82,13 @@ def read_roof_planes(spark: SparkSession, path: str, pattern: str = "*.gml") ->
 
 def _points(text: str, dim: str) -> Column:
     """Points of a ring without the closing one."""
-    ring = position_list(text, dim)
-    ends = F.get(ring, F.lit(0)) == F.element_at(ring, -1)
-    return F.when(ends, F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+    opened = lambda ring: F.when(F.get(ring, F.lit(0)) == F.element_at(ring, -1), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+    return F.get(F.transform(F.array(position_list(text, dim)), opened), F.lit(0))
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column from a generator of one row, across which the optimizer does not copy the expression to each of its uses."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def slope_stats(planes: DataFrame, ids: DataFrame | None = None, id_field: str = "gml_id", low: float = 15.0) -> DataFrame:
@@ -101,10 +105,11 @@ def slope_stats(planes: DataFrame, ids: DataFrame | None = None, id_field: str =
     planes = planes.join(first, ["gml_id", "file", "ordinal"], "left_semi").where("plane is not null")
     keys = ["gml_id", "file", "ordinal", "plane"]
     outer = planes.select(*keys, "roof_type", "interiors", F.col("exterior.text").alias("t"), F.col("exterior.dim").alias("d"))
-    outer = outer.withColumn("ring", _points("t", "d")).where("size(ring) >= 3")
-    outer = outer.select(*keys, "roof_type", scalars.newell_slope("ring").alias("slope"), scalars.shoelace("ring").alias("whole"))
+    outer = _once(outer, "ring", _points("t", "d")).where("size(ring) >= 3")
+    outer = _once(outer, "found", F.struct(scalars.newell_slope("ring").alias("slope"), scalars.shoelace("ring").alias("whole")))
+    outer = outer.select(*keys, "roof_type", "found.slope", "found.whole")
     holes = planes.select(*keys, F.explode("interiors").alias("i")).select(*keys, F.col("i.text").alias("t"), F.col("i.dim").alias("d"))
-    holes = holes.withColumn("ring", _points("t", "d")).where("size(ring) >= 3").groupBy(*keys).agg(F.sum(scalars.shoelace("ring")).alias("gone"))
+    holes = _once(holes, "ring", _points("t", "d")).where("size(ring) >= 3").groupBy(*keys).agg(F.sum(scalars.shoelace("ring")).alias("gone"))
     usable = outer.join(holes, keys, "left").withColumn("a", F.greatest(F.lit(0.0), F.col("whole") - F.coalesce("gone", F.lit(0.0)))).where("slope is not null and a > 0")
     found = usable.groupBy("gml_id").agg(
         (F.sum(F.col("slope") * F.col("a")) / F.sum("a")).alias(STATS[0]), F.min("slope").alias(STATS[1]), F.max("slope").alias(STATS[2]), F.count("*").alias(STATS[3]),

@@ -111,12 +111,15 @@ def resolve_images(wanted: DataFrame, listing: DataFrame, root: str, extensions:
 def position_list(text: str, dimension: str | None = None) -> Column:
     """Points struct<x, y, z> of a space-separated list; its dimension is given, else 3 or 2 as the count divides.
 
-    Null for fewer than nine numbers, points of fewer than three, or a word that is no number.
+    Null for fewer than nine numbers, points of fewer than three, or a word that is no number. The text is parsed once, not once a point.
     """
-    n = F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda x: x.try_cast("double"))
-    guess = F.when(F.size(n) % 3 == 0, 3).when(F.size(n) % 2 == 0, 2)
-    dim = F.coalesce(F.col(dimension).cast("int"), guess) if dimension else guess
-    last = F.floor(F.size(n) / dim).cast("int") - 1
-    point = lambda i: F.struct(*(F.get(n, (i * dim + k).cast("int")).alias(x) for k, x in enumerate("xyz")))
-    points = F.transform(F.sequence(F.lit(0), last), point)
-    return F.when((F.size(n) >= 9) & (dim >= 3) & ~F.exists(n, lambda x: x.isNull()), points)
+    numbers = F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda x: x.try_cast("double"))
+
+    def points(n: Column) -> Column:
+        guess = F.when(F.size(n) % 3 == 0, 3).when(F.size(n) % 2 == 0, 2)
+        dim = F.coalesce(F.col(dimension).cast("int"), guess) if dimension else guess
+        last = F.floor(F.size(n) / dim).cast("int") - 1
+        point = lambda i: F.struct(*(F.get(n, (i * dim + k).cast("int")).alias(x) for k, x in enumerate("xyz")))
+        return F.when((F.size(n) >= 9) & (dim >= 3) & ~F.exists(n, lambda x: x.isNull()), F.transform(F.sequence(F.lit(0), last), point))
+
+    return F.get(F.transform(F.array(numbers), points), F.lit(0))

@@ -104,3 +104,11 @@ def test_points_on_edges_are_outside(spark):
     places = {1: (1, 1), 2: (0, 0), 3: (0, 4), 4: (4, 0), 5: (8, 4), 6: (8, 8), 7: (2, 3), 8: (3, 2), 9: (4, 4), 10: (3, 3), 11: (5, 4), 12: (0, 8)}
     points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in places.items()], "id long, x double, y double")
     assert {r.id for r in spatial.points_within(points, zones, 3.0).where("zone_id = 5").collect()} == {1, 11}
+
+
+def test_rings_are_parsed_once(spark):
+    """The plan of the slope statistics holds the parsing of an exterior and of an interior once each, however often a ring is used."""
+    ring_sql = "struct<text:string,dim:string>"
+    planes = spark.createDataFrame([("A", "f", 0, "flat", 0, ("0 0 0 1 0 0 1 1 0", "3"), [])], f"gml_id string, file string, ordinal int, roof_type string, plane int, exterior {ring_sql}, interiors array<{ring_sql}>")
+    plan = citygml.slope_stats(planes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2
