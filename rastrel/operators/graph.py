@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import top_one, within
+from .spatial import near_cells
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,9 +45,16 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
 
 
 def dedup_within(points: DataFrame, distance: float, area: str = "area") -> DataFrame:
-    """The largest of each group of points(id, x, y, area) that chains of at most `distance` link; the smallest id wins ties."""
-    grouped = components(points, within(points, distance))
-    return top_one(grouped, ["component"], F.col(area).desc_nulls_last(), F.col("id"))
+    """The largest of each group of points(id, x, y, area) that chains of at most `distance` link; the smallest id wins ties.
+
+    Points of one cell are all near, so each is linked to its cell's smallest id alone, and two cells by one link: links grow
+    with the points, never with the pairs.
+    """
+    first, links = near_cells(points, distance)
+    grouped = components(points, first.union(links))
+    largest = F.struct(F.col(area).isNull(), ~F.isnan(area), -F.col(area), F.col("id"))
+    best = grouped.groupBy("component").agg(F.min_by(F.struct(*points.columns), largest).alias("best"))
+    return best.select("best.*", "component")
 
 
 def drop_islands(classes: DataFrame, width: int, least: int, default: int) -> DataFrame:

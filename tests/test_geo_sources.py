@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastrel.functions import scalars
-from rastrel.operators import spatial
+from rastrel.operators import graph, spatial
 from rastrel.sources import citygml, osm
 
 
@@ -112,3 +112,20 @@ def test_rings_are_parsed_once(spark):
     planes = spark.createDataFrame([("A", "f", 0, "flat", 0, ("0 0 0 1 0 0 1 1 0", "3"), [])], f"gml_id string, file string, ordinal int, roof_type string, plane int, exterior {ring_sql}, interiors array<{ring_sql}>")
     plan = citygml.slope_stats(planes)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") <= 2
+
+
+def test_neighbours_are_not_broadcast(spark):
+    points = spark.range(20).selectExpr("id", "id * 7D AS x", "id * 3D AS y", "1D AS area")
+    for found in (spatial.within(points, 10.0), spatial.near_cells(points, 10.0)[1]):
+        assert any("SortMergeJoin" in line for line in found._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_dedup_links_grow_with_points(spark, monkeypatch):
+    """Of 400 points, 300 of them at one place and 100 in a chain, links stay under 3 a point, and the groups are those of all pairs."""
+    rows = [(i, 5.0, 5.0, float(i % 7)) for i in range(300)] + [(1000 + i, 100.0 + 2.5 * i, 50.0 - (i % 3), None if i % 2 else 4.0) for i in range(100)] + [(2000, None, 5.0, 1.0), (2001, float("nan"), 5.0, 1.0), (2002, 5.0, 9.5, 3.0)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, area double")
+    seen, whole = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda nodes, edges: seen.append(edges.count()) or whole(nodes, edges))
+    got = sorted((r.id, r.component) for r in graph.dedup_within(points, 4.5).collect())
+    assert got == [(6, 0), (1000, 1000), (2000, 2000), (2001, 2001)]
+    assert seen[0] < 3 * len(rows)
