@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
@@ -51,9 +52,17 @@ def settle() -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, so that later steps neither recompute it nor depend on an executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to the shared checkpoint folder, so that later steps neither recompute it nor depend on an executor.
+
+    What went before is then collected: Spark deletes the files of a shuffle, and of a checkpoint where its cleaner is set to, only
+    once the driver's collector finds that nothing refers to them, so those of many short rounds would pile up on disk.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    df = df.checkpoint(eager=True)
+    gc.collect()
+    spark._jvm.System.gc()
+    return df
 
 
 def partitions(spark: SparkSession) -> int:

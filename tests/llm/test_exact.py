@@ -354,3 +354,16 @@ def test_folders_must_be_named_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_folder(Session)
+
+
+def test_rounds_do_not_pile_up_shuffle_files(spark):
+    """Once tables are cut, the shuffles that made them go from disk but for the last ones, without waiting for the driver's memory to fill."""
+    import time
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    common.cut(spark.range(10))
+    before, state = files(), spark.range(1000).selectExpr("id", "id % 50 AS k")
+    for _ in range(8):
+        state = common.cut(state.repartition(16, "k").repartition(16, "id"))
+    time.sleep(3)
+    assert files() - before < 120
